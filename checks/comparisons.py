@@ -9,7 +9,7 @@ from checks.registry import query
 from tablematch.operators import ledger as lg
 from tablematch.operators.cells import changed_columns, layout_of
 from tablematch.operators.clean import data_columns, normalize
-from tablematch.operators.lines import compare_lines, identical_lines, invoice_summary
+from tablematch.operators.lines import compare_lines, find_hot_keys, identical_lines, invoice_summary, leftover_lines
 from tablematch.operators.master import compare_master, duplicates, inner_pairs, missing
 from tablematch.plans.skew import first_rows
 
@@ -89,7 +89,7 @@ def c3_pairs(spark, sf_dir):
 def j5_identical_lines(spark, sf_dir):
     s, t = b3(spark, sf_dir)
     layout = layout_of(data_columns(s), data_columns(t), KEYS)
-    pairs = identical_lines(s, t, layout).where("src is not null and tgt is not null")
+    pairs = identical_lines(s, t, layout, find_hot_keys(s, t, layout)).where("src is not null and tgt is not null")
     return pairs.select(F.col("src._rid").alias("sr"), F.col("tgt._rid").alias("tr"))
 
 
@@ -98,12 +98,11 @@ def j5_identical_lines(spark, sf_dir):
     fx.B3 + "SELECT sr, tr FROM links WHERE sr IS NULL OR tr IS NULL OR sr NOT IN (SELECT sr FROM exact)",
 )
 def j6_positional_lines(spark, sf_dir):
-    from tablematch.operators.lines import leftover_lines
-
     s, t = b3(spark, sf_dir)
     layout = layout_of(data_columns(s), data_columns(t), KEYS)
-    unpaired = identical_lines(s, t, layout).where("src is null or tgt is null")
-    return leftover_lines(unpaired, layout).select(F.col("src._rid").alias("sr"), F.col("tgt._rid").alias("tr"))
+    hot = find_hot_keys(s, t, layout)
+    unpaired = identical_lines(s, t, layout, hot).where("src is null or tgt is null")
+    return leftover_lines(unpaired, layout, hot).select(F.col("src._rid").alias("sr"), F.col("tgt._rid").alias("tr"))
 
 
 @query(

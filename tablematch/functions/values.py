@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
@@ -9,14 +11,12 @@ from tablematch.config import STRICT_NUMBER_PATTERN
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _CLOCK = r"([T ]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?( ?([AaPp][Mm]|Z|[+-][0-9]{2}:?[0-9]{2}))?)?$"
-_YEAR_FIRST = r"^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}" + _CLOCK
-_YEAR_LAST = r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}" + _CLOCK
+_NUMERIC_DATE = r"^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})" + _CLOCK
 _MONTHS = (
     "(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?"
     "|oct(ober)?|nov(ember)?|dec(ember)?)"
 )
-_DAY_MONTH = r"(?i)^[0-9]{1,2}[- ]" + _MONTHS + r",?[- ][0-9]{4}" + _CLOCK
-_MONTH_DAY = r"(?i)^" + _MONTHS + r"[- ][0-9]{1,2},?[- ][0-9]{4}" + _CLOCK
+_NAMED_DATE = r"(?i)^([0-9]{1,2}[- ]" + _MONTHS + r"|" + _MONTHS + r"[- ][0-9]{1,2}),?[- ][0-9]{4}" + _CLOCK
 _MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CANON_SCALE = "decimal(38,12)"
 
@@ -40,40 +40,54 @@ def _bare_number(t: Column) -> Column:
     return F.trim(F.when(bare.startswith("$"), F.substring(bare, 2, 2147483647)).otherwise(bare))
 
 
-def parse_date(c: Column) -> Column:
-    """Date of a text in one of the accepted formats (year first, month/day/year with day/month/year as the second
-    reading, or a month name), else null. A pattern test guards each cast, so plain texts cost one regex."""
-    t = F.trim(c.cast("string"))
-    head = F.translate(F.substring_index(F.substring_index(t, " ", 1), "T", 1), "/.", "--")
-    part = F.split(head, "-")
-    mdy = F.concat_ws("-", part[2], part[0], part[1]).try_cast("date")
-    dmy = F.concat_ws("-", part[2], part[1], part[0]).try_cast("date")
-    word = F.split(F.regexp_replace(t, "[-, ]+", " "), " ")
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` computed once: an array of one element is mapped over. Without it, every mention of the
+    value repeats its whole expression, and generated code grows past what the compiler takes."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _read_date(t: Column) -> Column:
+    def numeric(part: Column) -> Column:
+        mdy = F.concat_ws("-", part[2], part[0], part[1]).try_cast("date")
+        dmy = F.concat_ws("-", part[2], part[1], part[0]).try_cast("date")
+        return F.when(F.length(part[0]) == 4, F.concat_ws("-", part).try_cast("date")).otherwise(F.coalesce(mdy, dmy))
 
     def month_number(name: Column) -> Column:
         start = F.instr(F.lit(_MONTH_STARTS), F.lower(F.substring(name, 1, 3)))
         return F.floor((start + F.lit(2)) / F.lit(3)).cast("string")
 
-    return (
-        F.when(t.rlike(_YEAR_FIRST), head.try_cast("date"))
-        .when(t.rlike(_YEAR_LAST), F.coalesce(mdy, dmy))
-        .when(t.rlike(_DAY_MONTH), F.concat_ws("-", word[2], month_number(word[1]), word[0]).try_cast("date"))
-        .when(t.rlike(_MONTH_DAY), F.concat_ws("-", word[2], month_number(word[0]), word[1]).try_cast("date"))
+    def named(part: Column) -> Column:
+        day_first = part[0].rlike("^[0-9]")
+        day, month = F.when(day_first, part[0]).otherwise(part[1]), F.when(day_first, part[1]).otherwise(part[0])
+        return F.concat_ws("-", part[2], month_number(month), day).try_cast("date")
+
+    return F.when(t.rlike(_NUMERIC_DATE), bind(F.slice(F.split(t, "[-/. T]"), 1, 3), numeric)).when(
+        t.rlike(_NAMED_DATE), bind(F.split(t, "[-, ]+"), named)
     )
 
 
+def parse_date(c: Column) -> Column:
+    """Date of a text in one of the accepted formats (year first, month/day/year with day/month/year as the second
+    reading, or a month name), else null. A pattern test guards each cast, so plain texts cost two regexes."""
+    return bind(F.trim(c.cast("string")), _read_date)
+
+
 def canonical(c: Column) -> Column:
     """Tagged comparison form of a cell: '', 'number:…', 'date:…' or 'text:…'."""
-    t = F.trim(F.coalesce(c.cast("string"), F.lit("")))
-    bare = _bare_number(t)
-    number = F.coalesce(_strip_zeros(bare.try_cast(CANON_SCALE).cast("string")), bare)
-    day = parse_date(t)
-    return (
-        F.when(t == "", F.lit(""))
-        .when(bare.rlike(_NUMBER), F.concat(F.lit("number:"), number))
-        .when(day.isNotNull(), F.concat(F.lit("date:"), day.cast("string")))
-        .otherwise(F.concat(F.lit("text:"), F.lower(t)))
-    )
+
+    def number(bare: Column) -> Column:
+        return F.when(
+            bare.rlike(_NUMBER),
+            F.concat(F.lit("number:"), F.coalesce(bind(bare.try_cast(CANON_SCALE).cast("string"), _strip_zeros), bare)),
+        )
+
+    def other(t: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("date:"), _read_date(t).cast("string")), F.concat(F.lit("text:"), F.lower(t)))
+
+    def tagged(t: Column) -> Column:
+        return F.when(t == "", F.lit("")).otherwise(F.coalesce(bind(_bare_number(t), number), other(t)))
+
+    return bind(F.trim(F.coalesce(c.cast("string"), F.lit(""))), tagged)
 
 
 def canonical_kind(canon: Column) -> Column:
@@ -82,10 +96,7 @@ def canonical_kind(canon: Column) -> Column:
 
 def display_value(c: Column) -> Column:
     """Dates as ISO text, anything else unchanged."""
-    t = F.trim(c.cast("string"))
-    return F.when(
-        ~_bare_number(t).rlike(_NUMBER), F.coalesce(parse_date(t).cast("string"), c.cast("string"))
-    ).otherwise(c.cast("string"))
+    return F.coalesce(parse_date(c).cast("string"), c.cast("string"))
 
 
 def day_of(c: Column) -> Column:

@@ -48,38 +48,40 @@ def cell_kind(left: Column, right: Column) -> Column:
 def compare_pairs(pairs: DataFrame, layout: Layout) -> DataFrame:
     """Add `status`, `diffs` and `row_date` to pairs given as structs `src` and `tgt`; one of them may be null.
 
-    The kinds are computed as plain columns first, so that they stay in generated code; the array of differences
-    only picks from them.
+    Whether all texts agree is plain generated code. Only rows with a differing text go through the cell array, whose
+    one lambda serves all columns.
     """
     left = {c: F.col("src").getField(c) for c in layout.compare}
     right = {c: F.col("tgt").getField(c) for c in layout.compare}
     both = F.col("src").isNotNull() & F.col("tgt").isNotNull()
-    kinds = pairs.select("*", *[F.when(both, cell_kind(left[c], right[c])).alias(f"_kind{i}") for i, c in enumerate(layout.compare)])
-    names = [f"_kind{i}" for i in range(len(layout.compare))]
+    differs = F.lit(False)
+    for c in layout.compare:
+        differs = differs | (left[c] != right[c])
+    nothing = F.array().cast(DIFF_TYPE)
     cells = [
-        F.struct(
-            F.lit(c).alias("column"), left[c].alias("source_value"), right[c].alias("target_value"), F.col(k).alias("kind")
-        )
-        for c, k in zip(layout.compare, names)
+        F.struct(F.lit(c).alias("column"), left[c].alias("source_value"), right[c].alias("target_value"))
+        for c in layout.compare
     ]
-    found = F.filter(F.array(*cells), lambda x: x["kind"].isNotNull()) if cells else F.array()
 
-    def any_kind(kind: str) -> Column:
-        test = F.lit(False)
-        for k in names:
-            test = test | F.coalesce(F.col(k) == kind, F.lit(False))
-        return test
+    def judged(x: Column) -> Column:
+        return F.struct(
+            x["column"].alias("column"), x["source_value"].alias("source_value"), x["target_value"].alias("target_value"),
+            cell_kind(x["source_value"], x["target_value"]).alias("kind"),
+        )
 
+    found = nothing
+    if cells:
+        differing = F.filter(F.array(*cells), lambda x: x["source_value"] != x["target_value"])
+        found = F.when(both & differs, F.filter(F.transform(differing, judged), lambda x: x["kind"].isNotNull())).otherwise(nothing)
+    compared = pairs.withColumn("diffs", found.cast(DIFF_TYPE))
     status = (
         F.when(F.col("tgt").isNull(), "Deleted")
         .when(F.col("src").isNull(), "Added")
-        .when(any_kind("value"), "Updated")
-        .when(any_kind("format"), "Format Only")
-        .otherwise("Matched")
-    )
-    return kinds.select(
-        *pairs.columns, status.alias("status"), found.cast(DIFF_TYPE).alias("diffs"), row_date(layout).alias("row_date")
+        .when(F.size("diffs") == 0, "Matched")
+        .when(has_kind("value"), "Updated")
+        .otherwise("Format Only")
     )
+    return compared.select(*pairs.columns, status.alias("status"), "diffs", row_date(layout).alias("row_date"))
 
 
 def row_date(layout: Layout) -> Column:

@@ -9,25 +9,33 @@ from tablematch.functions.values import canonical
 from tablematch.operators.cells import Layout, compare_pairs, layout_of
 from tablematch.operators.clean import data_columns
 from tablematch.operators.master import Comparison
-from tablematch.plans.skew import ranked
+from tablematch.plans.skew import find_hot, ranked
 
 
-def _numbered(df: DataFrame, layout: Layout, side: str, settings: Settings) -> DataFrame:
+def find_hot_keys(source: DataFrame, target: DataFrame, layout: Layout, settings: Settings = DEFAULTS) -> DataFrame | None:
+    """Keys with too many lines for one task, over both tables."""
+    return find_hot(source.select(*layout.keys).unionByName(target.select(*layout.keys)), layout.keys, settings)
+
+
+def _numbered(df: DataFrame, layout: Layout, side: str, hot: DataFrame | None, settings: Settings) -> DataFrame:
     """Rows with the fingerprint of their compared cells and their occurrence number inside (key, fingerprint)."""
-    print_ = F.md5(F.concat_ws("\x1f", *[canonical(F.col(f"`{c}`")) for c in layout.compare]))
+    cells = F.transform(F.array(*[F.col(f"`{c}`") for c in layout.compare]), canonical)
+    print_ = F.md5(F.array_join(cells, "\x1f"))
     tagged = df.select(*layout.keys, "_rid", print_.alias("_print"), F.struct(*data_columns(df), "_rid").alias(side))
-    return ranked(tagged, [*layout.keys, "_print"], "_rid", "_nth", settings).drop("_rid")
+    return ranked(tagged, [*layout.keys, "_print"], "_rid", "_nth", hot, layout.keys, settings).drop("_rid")
 
 
-def identical_lines(source: DataFrame, target: DataFrame, layout: Layout, settings: Settings = DEFAULTS) -> DataFrame:
+def identical_lines(
+    source: DataFrame, target: DataFrame, layout: Layout, hot: DataFrame | None, settings: Settings = DEFAULTS
+) -> DataFrame:
     """Pair the k-th with the k-th of the identical lines inside a key; lines without a partner keep a null side.
     The join key (key, fingerprint, k) is unique on both sides, so it cannot be skewed."""
-    s = _numbered(source, layout, "src", settings)
-    t = _numbered(target, layout, "tgt", settings)
+    s = _numbered(source, layout, "src", hot, settings)
+    t = _numbered(target, layout, "tgt", hot, settings)
     return s.join(t, [*layout.keys, "_print", "_nth"], "full").drop("_print", "_nth")
 
 
-def leftover_lines(unpaired: DataFrame, layout: Layout, settings: Settings = DEFAULTS) -> DataFrame:
+def leftover_lines(unpaired: DataFrame, layout: Layout, hot: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame:
     """Pair the remaining lines of a key by position; the surplus stays one-sided. Both sides are numbered in one
     pass and brought together by (key, position), which holds one line per side."""
     sided = unpaired.select(
@@ -35,16 +43,17 @@ def leftover_lines(unpaired: DataFrame, layout: Layout, settings: Settings = DEF
         F.col("src").isNull().alias("_side"),
         F.coalesce(F.col("src._rid"), F.col("tgt._rid")).alias("_order"),
     )
-    numbered = ranked(sided, [*layout.keys, "_side"], "_order", "_nth", settings)
+    numbered = ranked(sided, [*layout.keys, "_side"], "_order", "_nth", hot, layout.keys, settings)
     return numbered.groupBy(*layout.keys, "_nth").agg(
         F.first("src", ignorenulls=True).alias("src"), F.first("tgt", ignorenulls=True).alias("tgt")
     ).drop("_nth")
 
 
 def pair_lines(source: DataFrame, target: DataFrame, layout: Layout, settings: Settings = DEFAULTS) -> DataFrame:
-    full = identical_lines(source, target, layout, settings)
+    hot = find_hot_keys(source, target, layout, settings)
+    full = identical_lines(source, target, layout, hot, settings)
     paired = F.col("src").isNotNull() & F.col("tgt").isNotNull()
-    return full.where(paired).unionByName(leftover_lines(full.where(~paired), layout, settings))
+    return full.where(paired).unionByName(leftover_lines(full.where(~paired), layout, hot, settings))
 
 
 def compare_lines(

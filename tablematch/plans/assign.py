@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablematch.config import DEFAULTS, Settings
 from tablematch.plans.similarity import text_similarities
-from tablematch.plans.skew import durable, ranked
+from tablematch.plans.skew import durable, find_hot, ranked
 
 _BLOCK = 1024
 
@@ -60,7 +60,7 @@ def _members(rows: DataFrame, segments: DataFrame, side: str, settings: Settings
     )
     ids = rows.groupBy("text").agg(F.min("rid").alias(f"{side}_id"))
     placed = (
-        ranked(rows, ["text"], "rid", "pos", settings).join(ids, "text")
+        ranked(rows, ["text"], "rid", "pos", find_hot(rows, ["text"], settings), settings=settings).join(ids, "text")
         .withColumn("pos", F.col("pos") - 1).withColumn("block", F.floor(F.col("pos") / _BLOCK))
     )
     return (

@@ -37,16 +37,29 @@ def hot_groups(df: DataFrame, keys: list[str], settings: Settings = DEFAULTS) ->
     return sizes.where((F.col("_n") > settings.hot_group_rows) & (F.col("_n") > floor)).select("_hot")
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, out: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add the 1-based position `out` of each row inside its group by `order` (a unique long).
-
-    Same result as row_number() over the group. A hot group is cut into slices of consecutive `order` values, ranked
-    slice by slice in separate tasks, and shifted by the number of rows in earlier slices.
+def find_hot(df: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame | None:
+    """The hot groups of `df`, or None when there are none: one aggregate over the keys alone. Without hot groups the
+    plans below stay plain windows."""
+    hot = hot_groups(df.select(*keys), keys, settings)
+    return None if hot.isEmpty() else hot
+
+
+def ranked(
+    df: DataFrame, keys: list[str], order: str, out: str, hot: DataFrame | None, hot_by: list[str] | None = None,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Add the 1-based position `out` of each row inside its group by `order` (a unique, non-negative long).
+
+    Same result as row_number() over the group. A hot group (see `find_hot`, taken over `hot_by`, a subset of the
+    keys) is cut into slices of consecutive `order` values, ranked slice by slice in separate tasks, and shifted by
+    the number of rows in earlier slices.
     """
+    if hot is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
     # at most hot_groups_max rows of 8 bytes, by construction
-    hot = F.broadcast(hot_groups(df, keys, settings))
+    hot = F.broadcast(hot)
     sliced = (
-        df.withColumn("_group", F.xxhash64(*keys))
+        df.withColumn("_group", F.xxhash64(*(hot_by or keys)))
         .join(hot, F.col("_group") == F.col("_hot"), "left")
         .withColumn("_slice", F.when(F.col("_hot").isNotNull(), F.floor(F.col(order) / settings.hot_group_rows)).otherwise(F.lit(-1)))
     )
