@@ -90,13 +90,12 @@ def char_grams(c: Column, low: int = 2, high: int = 4) -> Column:
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         size = F.length(padded)
-        grams = [
-            F.when(
-                size >= n,
-                F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*grams)
+
+        def of_length(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
+            grams = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+            return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*[of_length(n) for n in range(low, high + 1)])
 
     return F.flatten(F.transform(words, of_word))

@@ -15,8 +15,9 @@ def with_ordinal(scan: DataFrame, out: str = "_rid") -> DataFrame:
     Splits are packed into tasks by size, so task order is not file order. Rows are counted per (file, split start);
     a running sum over the splits gives each split's offset. Only that small per-split table is ordered globally.
     """
+    names = [c for c in scan.columns if c != "_metadata"]
     tagged = scan.select(
-        "*",
+        *names,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS)).alias("_inside"),
@@ -25,7 +26,7 @@ def with_ordinal(scan: DataFrame, out: str = "_rid") -> DataFrame:
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_start", "_low", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     return tagged.join(offsets, ["_file", "_start"]).select(
-        *scan.columns, (F.col("_offset") + F.col("_inside") - F.col("_low")).alias(out)
+        *names, (F.col("_offset") + F.col("_inside") - F.col("_low")).alias(out)
     )
 
 
