@@ -15,6 +15,11 @@ def _cell(side: str, name: str) -> Column:
     return F.coalesce(F.col(side).getField(name), F.lit(""))
 
 
+def _own_name(name: str) -> str:
+    """Name of a data column beside the sheet's Status column; Spark does not tell names apart by case."""
+    return f"{name} (data)" if name.lower() == "status" else name
+
+
 def amount_columns(layout: Layout, source: str | None = None, target: str | None = None) -> tuple[str | None, str | None]:
     """Amount columns of both sides: the given ones, else the first whose name sounds like money."""
     s = source if source in layout.source else amount_like(layout.source, report=True)
@@ -27,7 +32,7 @@ def side_by_side(
     amount_target: str | None = None,
 ) -> DataFrame:
     """Every record of both tables: status, key, both values of each common column, one-sided columns, amount gap."""
-    cells = [F.col("status").alias("Status"), *[F.col(k) for k in layout.keys]]
+    cells = [F.col("status").alias("Status"), *[F.col(k).alias(_own_name(k)) for k in layout.keys]]
     for c in layout.compare:
         cells += [_cell("src", c).alias(f"{before} — {c}"), _cell("tgt", c).alias(f"{after} — {c}")]
     cells += [_cell("src", c).alias(f"{before} only — {c}") for c in layout.source_only]
@@ -45,7 +50,7 @@ def side_by_side(
 def flat_sheet(df: DataFrame, status: str) -> DataFrame:
     """Rows of one side under a status text; a data column named Status gives way."""
     names = [c for c in df.columns if c not in ("_rid", "Status")]
-    return df.select(F.lit(status).alias("Status"), *[F.col(f"`{c}`") for c in names])
+    return df.select(F.lit(status).alias("Status"), *[F.col(f"`{c}`").alias(_own_name(c)) for c in names])
 
 
 def deleted_sheet(comparison: Comparison, before: str = "Source", after: str = "Target") -> DataFrame:
@@ -70,7 +75,7 @@ def columns_changed(rows: DataFrame, layout: Layout) -> list[str]:
 
 def _before_after(rows: DataFrame, layout: Layout, before: str, after: str, first: list[Column], changed: list[str]) -> DataFrame:
     pairs = [x for c in changed for x in (_cell("src", c).alias(f"{before} ← {c}"), _cell("tgt", c).alias(f"{after} → {c}"))]
-    same = [_cell("src", c).alias(c) for c in layout.source if c not in layout.keys and c not in changed]
+    same = [_cell("src", c).alias(_own_name(c)) for c in layout.source if c not in layout.keys and c not in changed]
     return rows.select(*first, *pairs, *same)
 
 
@@ -80,7 +85,7 @@ def issue_sheet(comparison: Comparison, kind: str = "value", before: str = "Sour
     layout = comparison.layout
     rows = comparison.rows.where(F.col("status").isin("Updated", "Format Only") & has_kind(kind)).withColumn("diffs", diffs_of(kind))
     names = F.array_join(F.transform("diffs", lambda d: d["column"]), ", ")
-    first = [F.lit("Updated").alias("Status"), *[F.col(k) for k in layout.keys], names.alias("Changed Columns")]
+    first = [F.lit("Updated").alias("Status"), *[F.col(k).alias(_own_name(k)) for k in layout.keys], names.alias("Changed Columns")]
     return _before_after(rows, layout, before, after, first, columns_changed(rows, layout))
 
 
