@@ -32,6 +32,8 @@ class Settings:
     # paging
     page_sizes: tuple = (25, 50, 100, 250)
     page_size: int = 50
+    # pages that end beyond this many rows are read from a sorted table
+    top_rows: int = 100_000
     # text chunks
     chunk_chars: int = 800
     # churn labels: percent below -> label

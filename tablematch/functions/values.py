@@ -11,6 +11,7 @@ from tablematch.config import STRICT_NUMBER_PATTERN
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _CLOCK = r"([T ]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?( ?([AaPp][Mm]|Z|[+-][0-9]{2}:?[0-9]{2}))?)?$"
+_ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _NUMERIC_DATE = r"^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})" + _CLOCK
 _MONTHS = (
     "(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?"
@@ -61,7 +62,7 @@ def _read_date(t: Column) -> Column:
         day, month = F.when(day_first, part[0]).otherwise(part[1]), F.when(day_first, part[1]).otherwise(part[0])
         return F.concat_ws("-", part[2], month_number(month), day).try_cast("date")
 
-    return F.when(t.rlike(_NUMERIC_DATE), bind(F.slice(F.split(t, "[-/. T]"), 1, 3), numeric)).when(
+    return F.when(t.rlike(_ISO_DATE), t.try_cast("date")).when(t.rlike(_NUMERIC_DATE), bind(F.slice(F.split(t, "[-/. T]"), 1, 3), numeric)).when(
         t.rlike(_NAMED_DATE), bind(F.split(t, "[-, ]+"), named)
     )
 

@@ -9,7 +9,7 @@ from tablematch.functions.values import percent, strict_number
 from tablematch.operators.cells import has_kind
 from tablematch.operators.days import busiest_day
 from tablematch.operators.master import Comparison
-from tablematch.plans.skew import top_per_group
+from tablematch.plans.skew import durable, top_per_group
 
 BUCKETS = (
     "missing_in_target", "missing_in_source", "duplicates_source", "duplicates_target", "mismatches",
@@ -144,9 +144,11 @@ def clusters(rows: DataFrame, most: int = 4, seed: int = 42) -> DataFrame:
         HashingTF(inputCol="terms", outputCol="tf"),
         IDF(inputCol="tf", outputCol="idf"),
         Normalizer(inputCol="idf", outputCol="features"),
-        KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"),
     ])
-    labelled = features.fit(cells).transform(cells).select("cluster", "column_name", "source_value", "target_value")
+    # k-means reads the features many times
+    vectors = durable(features.fit(cells).transform(cells).select("column_name", "source_value", "target_value", "features"))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
+    labelled = model.transform(vectors).select("cluster", "column_name", "source_value", "target_value")
     per_column = labelled.groupBy("cluster", "column_name").agg(F.count("*").alias("n"))
     leading = per_column.groupBy("cluster").agg(F.max_by("column_name", "n").alias("column_name"))
     return change_shapes(labelled, ["cluster"]).join(leading, "cluster").select("cluster", "column_name", "n", "shape")

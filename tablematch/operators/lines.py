@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablematch.config import AMOUNT_WORDS, DEFAULTS, Settings
 from tablematch.functions.values import canonical
@@ -17,11 +17,16 @@ def find_hot_keys(source: DataFrame, target: DataFrame, layout: Layout, settings
     return find_hot(source.select(*layout.keys).unionByName(target.select(*layout.keys)), layout.keys, settings)
 
 
-def _numbered(df: DataFrame, layout: Layout, side: str, hot: DataFrame | None, settings: Settings) -> DataFrame:
-    """Rows with the fingerprint of their compared cells and their occurrence number inside (key, fingerprint)."""
+def _printed(df: DataFrame, layout: Layout, side: str) -> DataFrame:
+    """Rows as (keys, _rid, _print, struct) with the fingerprint of the compared cells."""
     cells = F.transform(F.array(*[F.col(f"`{c}`") for c in layout.compare]), canonical)
     print_ = F.md5(F.array_join(cells, "\x1f"))
-    tagged = df.select(*layout.keys, "_rid", print_.alias("_print"), F.struct(*data_columns(df), "_rid").alias(side))
+    return df.select(*layout.keys, "_rid", print_.alias("_print"), F.struct(*data_columns(df), "_rid").alias(side))
+
+
+def _numbered(df: DataFrame, layout: Layout, side: str, hot: DataFrame | None, settings: Settings) -> DataFrame:
+    """Rows with their fingerprint and their occurrence number inside (key, fingerprint)."""
+    tagged = _printed(df, layout, side)
     return ranked(tagged, [*layout.keys, "_print"], "_rid", "_nth", hot, layout.keys, settings).drop("_rid")
 
 
@@ -49,8 +54,30 @@ def leftover_lines(unpaired: DataFrame, layout: Layout, hot: DataFrame | None, s
     ).drop("_nth")
 
 
+def _pair_by_key(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
+    """Both pairings with a single shuffle, by key: every window below is partitioned by the key and more, so it runs
+    on that partitioning. For tables without hot keys."""
+    keys = layout.keys
+    s = _printed(source, layout, "src").withColumn("_side", F.lit(0))
+    t = _printed(target, layout, "tgt").withColumn("_side", F.lit(1))
+    rows = s.unionByName(t, allowMissingColumns=True).repartition(*keys)
+    same = Window.partitionBy(*keys, "_print")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_print", "_side").orderBy("_rid")))
+    rows = rows.withColumn("_exact", F.col("_nth") <= F.least(F.sum(F.lit(1) - F.col("_side")).over(same), F.sum("_side").over(same)))
+    place = F.row_number().over(Window.partitionBy(*keys, "_exact", "_side").orderBy("_rid"))
+    rows = rows.withColumn("_label", F.when(F.col("_exact"), F.col("_print")).otherwise("")).withColumn(
+        "_place", F.when(F.col("_exact"), F.col("_nth")).otherwise(place)
+    )
+    pair = Window.partitionBy(*keys, "_exact", "_label", "_place").orderBy("_side")
+    rows = rows.withColumn("_next", F.lead("tgt").over(pair)).withColumn("_before", F.lag("_side").over(pair))
+    return rows.where("_before is null").select(*keys, "src", F.coalesce("_next", "tgt").alias("tgt"))
+
+
 def pair_lines(source: DataFrame, target: DataFrame, layout: Layout, settings: Settings = DEFAULTS) -> DataFrame:
+    """Pair every line once: identical lines inside a key first, the others by position."""
     hot = find_hot_keys(source, target, layout, settings)
+    if hot is None:
+        return _pair_by_key(source, target, layout)
     full = identical_lines(source, target, layout, hot, settings)
     paired = F.col("src").isNotNull() & F.col("tgt").isNotNull()
     return full.where(paired).unionByName(leftover_lines(full.where(~paired), layout, hot, settings))

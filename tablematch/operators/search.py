@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tablematch.config import DEFAULTS, Settings
+from tablematch.sources.ordinal import with_ordinal_by
 
 
 @dataclass
@@ -41,8 +42,11 @@ def paginate(
     df: DataFrame, page: int = 1, page_size: int | None = None, sort_by: str | None = None, descending: bool = False,
     text: str | None = None, settings: Settings = DEFAULTS,
 ) -> Page:
-    """Filter, sort (nulls last ascending, first descending; ties in row order), one page. The page is a top-n, not
-    a full sort. Needs `_rid`."""
+    """Filter, sort (nulls last ascending, first descending; ties in row order), one page. Needs `_rid`.
+
+    An early page is a top-n. For a deep one, whose top-n would gather every earlier row in one place, the sorted
+    table is written once and the page is a range of positions in it.
+    """
     found = search_any(df, text)
     size = snap_page_size(page_size, settings)
     total = found.count()
@@ -51,7 +55,13 @@ def paginate(
     order = [F.col("_rid")]
     if sort_by:
         order.insert(0, F.col(sort_by).desc_nulls_first() if descending else F.col(sort_by).asc_nulls_last())
-    return Page(found.orderBy(*order).offset((page - 1) * size).limit(size), page, size, total, pages)
+    start = (page - 1) * size
+    if start + size <= settings.top_rows:
+        items = found.orderBy(*order).offset(start).limit(size)
+    else:
+        placed = with_ordinal_by(found, order, "_place")
+        items = placed.where((F.col("_place") >= start) & (F.col("_place") < start + size)).drop("_place")
+    return Page(items, page, size, total, pages)
 
 
 def amount_mismatches(
