@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.comparisons import KEYS, b1, b1_comparison, b2_ledger, b3
+from checks.comparisons import KEYS, b1, b1_comparison, b2_ledger, b3, or_none
 from checks.registry import query
 from checks.scans import scratch
 from tablematch.functions import values as vl
@@ -250,7 +250,7 @@ BUCKETS = fx.B1 + """, b AS (SELECT count(*) FILTER (status = 'Deleted') AS miss
 """
 
 
-@query("A11_bucket_counts", BUCKETS + "SELECT * FROM b")
+@query("A11_bucket_counts", BUCKETS + "SELECT * FROM b", long="fuzzy_matches")
 def a11(spark, sf_dir):
     return ins.bucket_counts(b1_comparison(spark, sf_dir))
 
@@ -345,7 +345,7 @@ def a20_busiest(spark, sf_dir):
   UNION ALL SELECT 3, 'Most of the changes happened in one place: the ''amount'' column changed ' || n || ' times.' FROM c
   UNION ALL SELECT 4, 'The numbers in ''amount'' generally increased in Target, by about 10.0 on average.'
   UNION ALL SELECT 5, fo || ' values only look different because of formatting (spacing, capitalization, or how a number is written) — the actual data didn''t change.' FROM p
-  UNION ALL SELECT 6, 'The busiest day was ' || day || ', with more changes than any other day — see the chart below.' FROM busy""")
+  UNION ALL SELECT 6, 'The busiest day was ' || day || ', with more changes than any other day — see the chart below.' FROM busy""", long="pos")
 def a22(spark, sf_dir):
     c = b1_comparison(spark, sf_dir)
     c.rows = durable(c.rows)
@@ -501,10 +501,10 @@ r AS (SELECT rid, CASE WHEN nn IS NULL THEN 'NO MATCH' WHEN nn = 1 THEN 'Name On
 """
 
 
-@query("J7_lookup", B6 + "SELECT rid AS source_rid, method, match_count, target_rid FROM r")
+@query("J7_lookup", B6 + "SELECT rid AS source_rid, method, match_count, coalesce(target_rid, -1) AS target_rid FROM r")
 def j7(spark, sf_dir):
     s, t = b6(spark, sf_dir)
-    return rw.lookup_names(s, t, "entity", "party", "city", "city").select("source_rid", "method", "match_count", "target_rid")
+    return rw.lookup_names(s, t, "entity", "party", "city", "city").select("source_rid", "method", "match_count", or_none("target_rid").alias("target_rid"))
 
 
 @query("J8_single_pairs", B6 + "SELECT rid AS source_rid, target_rid FROM r WHERE match_count = 1 QUALIFY count(*) OVER (PARTITION BY target_rid) = 1")
@@ -553,14 +553,14 @@ def j8(spark, sf_dir):
 
 @query("C6_pair_errors", """WITH o AS (SELECT o_orderkey AS k FROM orders)
   SELECT k AS source_rid, 20000000 - k AS target_rid, 'target row does not exist' AS error FROM o WHERE k % 5 = 0
-  UNION ALL SELECT k - k % 2, 10000000 - k, 'source row is used more than once' FROM o WHERE k % 5 <> 0 AND k % 10 IN (2, 3) UNION ALL SELECT k, NULL, 'both row numbers are needed' FROM o WHERE k % 100 = 1""")
+  UNION ALL SELECT k - k % 2, 10000000 - k, 'source row is used more than once' FROM o WHERE k % 5 <> 0 AND k % 10 IN (2, 3) UNION ALL SELECT k, -1, 'both row numbers are needed' FROM o WHERE k % 100 = 1""")
 def c6(spark, sf_dir):
     s, t, _ = row_tables(spark, sf_dir)
     k = F.col("_rid")
     pairs = s.select(
         F.when(k % 10 == 3, k - 1).otherwise(k).alias("source_rid"), F.when(k % 5 == 0, F.lit(20_000_000) - k).otherwise(F.lit(10_000_000) - k).alias("target_rid")
     ).unionByName(s.where("_rid % 100 = 1").select(F.col("_rid").alias("source_rid"), F.lit(None).cast("long").alias("target_rid")))
-    return rw.pair_errors(pairs, s, t)
+    return rw.pair_errors(pairs, s, t).withColumn("target_rid", or_none("target_rid"))
 
 
 # ---- history ------------------------------------------------------------------------------------------------------

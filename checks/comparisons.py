@@ -16,6 +16,11 @@ from tablematch.plans.skew import first_rows
 KEYS = ["order_no"]
 
 
+def or_none(name: str) -> F.Column:
+    """Row number, -1 for none: keeps the column an integer in every client."""
+    return F.coalesce(F.col(name), F.lit(-1).cast("long"))
+
+
 def b1(spark, sf_dir):
     return normalize(fx.b1_source(spark, sf_dir)), normalize(fx.b1_target(spark, sf_dir))
 
@@ -77,10 +82,10 @@ def c3_status_counts(spark, sf_dir):
     return compare_lines(*b3(spark, sf_dir), KEYS).rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("C3_pairs", fx.B3 + "SELECT order_no, s_rid, t_rid, status, changed FROM rows")
+@query("C3_pairs", fx.B3 + "SELECT order_no, coalesce(s_rid, -1) AS s_rid, coalesce(t_rid, -1) AS t_rid, status, changed FROM rows")
 def c3_pairs(spark, sf_dir):
     return compare_lines(*b3(spark, sf_dir), KEYS).rows.select(
-        "order_no", F.col("src._rid").alias("s_rid"), F.col("tgt._rid").alias("t_rid"), "status",
+        "order_no", or_none("src._rid").alias("s_rid"), or_none("tgt._rid").alias("t_rid"), "status",
         F.size(changed_columns()).cast("long").alias("changed"),
     )
 
@@ -95,24 +100,25 @@ def j5_identical_lines(spark, sf_dir):
 
 @query(
     "J6_positional_lines",
-    fx.B3 + "SELECT sr, tr FROM links WHERE sr IS NULL OR tr IS NULL OR sr NOT IN (SELECT sr FROM exact)",
+    fx.B3 + "SELECT coalesce(sr, -1) AS sr, coalesce(tr, -1) AS tr FROM links WHERE sr IS NULL OR tr IS NULL OR sr NOT IN (SELECT sr FROM exact)",
 )
 def j6_positional_lines(spark, sf_dir):
     s, t = b3(spark, sf_dir)
     layout = layout_of(data_columns(s), data_columns(t), KEYS)
     hot = find_hot_keys(s, t, layout)
     unpaired = identical_lines(s, t, layout, hot).where("src is null or tgt is null")
-    return leftover_lines(unpaired, layout, hot).select(F.col("src._rid").alias("sr"), F.col("tgt._rid").alias("tr"))
+    return leftover_lines(unpaired, layout, hot).select(or_none("src._rid").alias("sr"), or_none("tgt._rid").alias("tr"))
 
 
 @query(
     "A13_invoice_summary",
     fx.B3 + """SELECT 'price' AS amount_column, a AS source_invoice_total, b AS target_invoice_total, a - b AS invoice_difference FROM
     (SELECT CAST(sum(CAST(price AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS a FROM s0),
-    (SELECT CAST(sum(CAST(replace(price, '$', '') AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS b FROM t0)""",
-)
+    (SELECT CAST(sum(CAST(replace(price, '$', '') AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS b FROM t0)""", double="source_invoice_total target_invoice_total invoice_difference")
 def a13_invoice_summary(spark, sf_dir):
-    return invoice_summary(*b3(spark, sf_dir), "price")
+    out = invoice_summary(*b3(spark, sf_dir), "price")
+    totals = [c for c in out.columns if c != "amount_column"]
+    return out.select("amount_column", *[F.col(c).cast("double").alias(c) for c in totals])
 
 
 def b2_ledger(spark, sf_dir):

@@ -38,7 +38,7 @@ def src1(spark, sf_dir):
     return rd.read_strings(spark, orders_csv(spark, sf_dir), ordinal=False)
 
 
-@query("W3_ordinal", "SELECT count(*) AS n, count(*) AS ids, 0 AS low, count(*) - 1 AS high FROM orders")
+@query("W3_ordinal", "SELECT count(*) AS n, count(*) AS ids, 0 AS low, count(*) - 1 AS high FROM orders", long="low")
 def w3(spark, sf_dir):
     rows = with_ordinal(spark.read.option("header", True).csv(orders_csv(spark, sf_dir)))
     return rows.agg(
@@ -87,14 +87,14 @@ def p14(spark, sf_dir):
     return table.select("TxnNumber", "TxnType", "TxnDate", F.col("Amount").cast("double").alias("Amount"), "Customer")
 
 
-@query("P4_header_row", "SELECT 1 AS header_row, count(*) + 1 AS rows_below FROM orders")
+@query("P4_header_row", "SELECT 1 AS header_row, count(*) + 1 AS rows_below FROM orders", long="header_row")
 def p4(spark, sf_dir):
     grid = rd.read_grid(spark, grid_file(spark, sf_dir))
     row = al.detect_header_row(grid, FIELDS)
     return al.promote_header(grid, row).agg(F.lit(row).cast("long").alias("header_row"), F.count("*").alias("rows_below"))
 
 
-@query("P6_repeated_header", "SELECT count(*) AS n, 0 AS labels FROM orders")
+@query("P6_repeated_header", "SELECT count(*) AS n, 0 AS labels FROM orders", long="labels")
 def p6(spark, sf_dir):
     table = al.promote_header(rd.read_grid(spark, grid_file(spark, sf_dir)), 1)
     kept = al.drop_repeated_header(table, FIELDS)
@@ -177,15 +177,15 @@ def p15(spark, sf_dir):
     return cl.add_missing_keys(c, c.withColumn("region", F.lit("x")), ["region"])[0]
 
 
-@query("P17_amount_column", "SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total, 'o_totalprice' AS column_name FROM orders")
+@query("P17_amount_column", "SELECT sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total, 'o_totalprice' AS column_name FROM orders", double="total")
 def p17(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
     name = al.amount_like(o.columns)
-    return o.agg(F.sum(fx.money(name)).alias("total"), F.lit(name).alias("column_name"))
+    return o.agg(F.sum(fx.money(name)).cast("double").alias("total"), F.lit(name).alias("column_name"))
 
 
 @query("P18_schema_difference", """SELECT 'Source-only column' AS type, 'l_tax' AS column_name, (SELECT sum(CAST(l_tax AS DECIMAL(18,2))) FROM lineitem) AS total
-  UNION ALL SELECT 'Target-only column', 'l_extra', (SELECT count(*) FROM lineitem)""")
+  UNION ALL SELECT 'Target-only column', 'l_extra', (SELECT count(*) FROM lineitem)""", double="total")
 def p18(spark, sf_dir):
     """Differences joined to a total over the data of the columns they name."""
     source = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_tax")
@@ -194,7 +194,7 @@ def p18(spark, sf_dir):
     sums = source.agg(F.sum(fx.money("l_tax")).alias("total")).select(F.lit("l_tax").alias("column_name"), "total").unionByName(
         target.agg(F.sum(fx.money("l_extra")).alias("total")).select(F.lit("l_extra").alias("column_name"), "total")
     )
-    return diff.join(sums, "column_name").select("type", "column_name", "total")
+    return diff.join(sums, "column_name").select("type", "column_name", F.col("total").cast("double").alias("total"))
 
 
 @query("P19_mapping_summary", """SELECT * FROM (VALUES ('o_orderkey', 'o_orderkey', 'Suggested Key', 'Suggested Key', 'Key Match'),

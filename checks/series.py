@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.comparisons import KEYS, b1_comparison
+from checks.comparisons import KEYS, or_none
 from checks.analysis import B7
 from checks.registry import query
 from checks.scans import scratch
@@ -53,7 +53,7 @@ m AS (SELECT *, greatest(0, least(100, match_rate - duplicate_rate * 0.5 - missi
 """
 
 
-@query("SNK4_version_chain", _steps(2) + "SELECT version, added, deleted, updated, 0 AS renamed, format_issues, target_records AS row_count, 'Day ' || version AS label FROM ver UNION ALL SELECT 0, 0, 0, 0, 0, 0, count(*), 'Source' FROM b1s")
+@query("SNK4_version_chain", _steps(2) + "SELECT version, added, deleted, updated, 0 AS renamed, format_issues, target_records AS row_count, 'Day ' || version AS label FROM ver UNION ALL SELECT 0, 0, 0, 0, 0, 0, count(*), 'Source' FROM b1s", long="renamed")
 def snk4(spark, sf_dir):
     """Create, append, timeline; each version is compared with its predecessor (T-2 in batch)."""
     store = chain(spark, sf_dir, 2)
@@ -71,11 +71,11 @@ def snk2(spark, sf_dir):
     return diff.select(F.col("key")["order_no"].alias("order_no"), "status", F.size("changed_columns").cast("long").alias("changed"))
 
 
-@query("W5_previous_version", "SELECT * FROM (VALUES (0, NULL), (1, 0), (2, 1)) t(version, previous_version), (SELECT count(*) AS n FROM orders)")
+@query("W5_previous_version", "SELECT * FROM (VALUES (0, -1), (1, 0), (2, 1)) t(version, previous_version), (SELECT count(*) AS n FROM orders)")
 def w5(spark, sf_dir):
     versions = chain(spark, sf_dir, 2).versions()
     first = versions.where("version = 0").agg(F.max("row_count")).scalar()
-    return mt.previous_versions(versions).select("version", "previous_version").withColumn("n", first)
+    return mt.previous_versions(versions).select("version", F.coalesce("previous_version", F.lit(-1)).alias("previous_version")).withColumn("n", first)
 
 
 @query("A23_run_metrics", METRICS + """SELECT version, total, matched, updated, added AS inserted, deleted AS missing, duplicates, round(match_rate, 6) AS match_rate, round(duplicate_rate, 6) AS duplicate_rate,
@@ -89,14 +89,14 @@ def a23(spark, sf_dir):
 
 @query("A24_range", METRICS + """SELECT count(*) AS runs, round(avg(match_rate), 6) AS avg_match_rate, round(avg(duplicate_rate), 6) AS avg_duplicate_rate, round(avg(quality), 6) AS avg_quality_score,
   sum(matched) AS matched, sum(updated) AS updated, round(max(match_rate) FILTER (version = 3) - max(match_rate) FILTER (version = 1), 6) AS match_rate_change,
-  round(max(quality) FILTER (version = 3) - max(quality) FILTER (version = 1), 6) AS quality_score_change FROM m""")
+  round(max(quality) FILTER (version = 3) - max(quality) FILTER (version = 1), 6) AS quality_score_change FROM m""", long="matched updated")
 def a24(spark, sf_dir):
     r = mt.range_comparison(mt.run_metrics(chain(spark, sf_dir).versions()), 3, 1)
     rates = ["avg_match_rate", "avg_duplicate_rate", "avg_quality_score", "match_rate_change", "quality_score_change"]
     return r.select("runs", "matched", "updated", *[F.round(c, 6).alias(c) for c in rates])
 
 
-@query("A25_run_points", _steps(3) + "SELECT version AS run_no, 'R' || version AS run_id, updated, added AS inserted, deleted AS missing, greatest(10, max(greatest(updated, added, deleted)) OVER ()) AS largest, sum(updated) OVER () AS total_updated FROM ver QUALIFY version >= 2")
+@query("A25_run_points", _steps(3) + "SELECT version AS run_no, 'R' || version AS run_id, updated, added AS inserted, deleted AS missing, greatest(10, max(greatest(updated, added, deleted)) OVER ()) AS largest, sum(updated) OVER () AS total_updated FROM ver QUALIFY version >= 2", long="total_updated")
 def a25(spark, sf_dir):
     """F-5 included: the last two runs, next to the totals of all runs."""
     points = mt.run_points(chain(spark, sf_dir).versions())
@@ -112,7 +112,7 @@ def f5(spark, sf_dir):
     return se.filter_runs(mt.run_points(chain(spark, sf_dir, 2).versions()), run="run-2").select("run_no", "updated")
 
 
-@query("A26_activity", _steps(2) + "SELECT 3 AS files, 1 AS comparisons, 2 AS reports, 3 AS last_week, 3 AS recent, sum(target_records) AS records FROM ver")
+@query("A26_activity", _steps(2) + "SELECT 3 AS files, 1 AS comparisons, 2 AS reports, 3 AS last_week, 3 AS recent, sum(target_records) AS records FROM ver", long="files comparisons reports last_week recent records")
 def a26(spark, sf_dir):
     v = chain(spark, sf_dir, 2).versions()
     return (
@@ -121,19 +121,19 @@ def a26(spark, sf_dir):
     )
 
 
-@query("A28_progression", _steps(2) + "SELECT version AS day, false AS is_source, added + deleted + updated AS total_changes FROM ver UNION ALL SELECT 0, true, NULL")
+@query("A28_progression", _steps(2) + "SELECT version AS day, false AS is_source, added + deleted + updated AS total_changes FROM ver UNION ALL SELECT 0, true, -1")
 def a28(spark, sf_dir):
-    return mt.progression(chain(spark, sf_dir, 2).versions()).select("day", "is_source", "total_changes")
+    return mt.progression(chain(spark, sf_dir, 2).versions()).select("day", "is_source", or_none("total_changes").alias("total_changes"))
 
 
-@query("R6_grouped_reports", "SELECT 's1' AS group_id, 'orders' AS title, 2 AS reports, 's1_v1,s1_v2' AS files, count(*) AS n FROM orders")
+@query("R6_grouped_reports", "SELECT 's1' AS group_id, 'orders' AS title, 2 AS reports, 's1_v1,s1_v2' AS files, count(*) AS n FROM orders", long="reports")
 def r6(spark, sf_dir):
     v = chain(spark, sf_dir, 2).versions()
     rows = v.where("version = 0").agg(F.max("row_count")).scalar()
     return rp.grouped_reports(v).withColumn("files", F.array_join("files", ",")).withColumn("n", rows)
 
 
-@query("SNK4_series_list", "SELECT 's1' AS series_id, 3 AS version_count, 2 AS target_count, 'Day 2' AS latest_label, 'orders' AS name, 3 AS files, count(*) AS n FROM orders")
+@query("SNK4_series_list", "SELECT 's1' AS series_id, 3 AS version_count, 2 AS target_count, 'Day 2' AS latest_label, 'orders' AS name, 3 AS files, count(*) AS n FROM orders", long="version_count target_count files")
 def snk4_list(spark, sf_dir):
     v = chain(spark, sf_dir, 2).versions()
     rows = v.where("version = 0").agg(F.max("row_count")).scalar()

@@ -49,11 +49,11 @@ def p13(spark, sf_dir):
     return out.drop("_rid").withColumn("Amount", F.col("Amount").cast("double"))
 
 
-@query("P16_loose_columns", "SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS mine, CAST(o_totalprice AS DECIMAL(18,2)) AS theirs FROM orders")
+@query("P16_loose_columns", "SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS mine, CAST(o_totalprice AS DECIMAL(18,2)) AS theirs FROM orders", double="mine theirs")
 def p16(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders").select(fx.money("o_totalprice").alias("Total-Price X"), fx.money("o_totalprice").alias("total_pricex"))
     mine, theirs = al.loose_pairs(["Total-Price X"], ["other", "total_pricex"])[0]
-    return o.select(F.col(f"`{mine}`").alias("mine"), F.col(theirs).alias("theirs"))
+    return o.select(F.col(f"`{mine}`").cast("double").alias("mine"), F.col(theirs).cast("double").alias("theirs"))
 
 
 @query("F6_required_fields", """SELECT count(*) AS n, count(*) AS with_number, count(*) AS with_amount FROM orders""")
