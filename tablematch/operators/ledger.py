@@ -56,20 +56,22 @@ def split_exceptions(df: DataFrame, by_type: Column) -> tuple[DataFrame, DataFra
 
 
 def totals_by_key(clean: DataFrame) -> DataFrame:
-    """Amount per transaction, with the first known date and customer. Partial sums run before the shuffle."""
+    """Amount per transaction, with the first known date and customer and the number of lines. Partial sums run before the shuffle."""
 
     def first_known(name: str) -> Column:
         known = F.when(F.col(name).isNotNull(), F.col("_rid"))
         return F.min_by(F.col(name), known).alias(name)
 
-    return clean.groupBy(*KEY).agg(F.sum("Amount").cast(MONEY).alias("Amount"), first_known("TxnDate"), first_known("Customer"))
+    return clean.groupBy(*KEY).agg(
+        F.sum("Amount").cast(MONEY).alias("Amount"), first_known("TxnDate"), first_known("Customer"), F.count(F.lit(1)).alias("Lines")
+    )
 
 
 def outer_groups(source: DataFrame, target: DataFrame, tolerance: float) -> DataFrame:
     """Totals of both sides side by side with difference and first-tier status."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        values = [F.col(c).alias(f"{c}_{name}") for c in ("Amount", "TxnDate", "Customer")]
+        values = [F.col(c).alias(f"{c}_{name}") for c in ("Amount", "TxnDate", "Customer", "Lines")]
         return totals_by_key(df).select(*KEY, *values, F.lit(True).alias(f"in_{name}"))
 
     joined = side(source, "Source").join(side(target, "Target"), KEY, "full")
@@ -88,7 +90,7 @@ def suffix_matches(groups: DataFrame, tolerance: float) -> DataFrame:
     """Second tier: one-sided groups whose number without a trailing '-digits' is the same on both sides. Only a
     stripped number held by exactly one group per side is taken; the others stay one-sided."""
     left = groups.where("MatchStatus in ('Only In Source', 'Only In Target')").withColumn("Stem", strip_suffix(F.col("TxnNumber")))
-    fields = ["TxnNumber", "Amount_{0}", "TxnDate_{0}", "Customer_{0}"]
+    fields = ["TxnNumber", "Amount_{0}", "TxnDate_{0}", "Customer_{0}", "Lines_{0}"]
 
     def only(name: str) -> list[Column]:
         test = F.col("MatchStatus") == f"Only In {name}"
@@ -131,6 +133,7 @@ def compare_ledger(source: DataFrame, target: DataFrame, settings: Settings = DE
     columns = [
         "TxnNumber_Source", "TxnNumber_Target", "TxnType", "Amount_Source", "Amount_Target", "Diff", "MatchStatus",
         "TxnDate_Source", "TxnDate_Target", "Customer_Source", "Customer_Target",
+        "Lines_Source", "Lines_Target",
     ]
     return Ledger(
         tier1.select(*columns).unionByName(tier2.select(*columns)),
@@ -142,7 +145,8 @@ def compare_ledger(source: DataFrame, target: DataFrame, settings: Settings = DE
 
 
 def ledger_summary(ledger: Ledger) -> DataFrame:
-    """All counts and totals as (metric, value) rows; every part is one aggregate over its table."""
+    """All counts and totals as (metric, value) rows. The groups carry what their lines add up to, so one pass over
+    them gives everything but the exceptions."""
 
     def rows(df: DataFrame, **metrics: Column) -> DataFrame:
         one = df.agg(*[F.coalesce(v, F.lit(0)).cast(MONEY).alias(k) for k, v in metrics.items()])
@@ -151,39 +155,26 @@ def ledger_summary(ledger: Ledger) -> DataFrame:
     def count_status(*names: str) -> Column:
         return F.count_if(F.col("MatchStatus").isin(*names))
 
-    def sides(df: DataFrame, name: str) -> DataFrame:
-        """Line count and total, and how many lines share a key: one pass over the clean lines."""
-        per_key = df.groupBy(*KEY).agg(F.sum("Amount").cast(MONEY).alias("Amount"), F.count(F.lit(1)).alias("n"))
-        return rows(
-            per_key,
-            **{
-                f"{name}_records": F.count(F.lit(1)),
-                f"duplicate_keys_{name}": F.sum(F.when(F.col("n") > 1, F.col("n"))),
-                f"{name}_invoice_total": F.sum("Amount"),
-                f"{name}_total": F.sum("Amount"),
-            },
-        )
+    def side(name: str) -> dict[str, Column]:
+        lines, total = F.col(f"Lines_{name}"), F.sum(f"Amount_{name}")
+        low = name.lower()
+        return {
+            f"{low}_records": F.count(lines), f"duplicate_keys_{low}": F.sum(F.when(lines > 1, lines)),
+            f"{low}_invoice_total": total, f"{low}_total": total,
+        }
 
-    parts = [
-        sides(ledger.clean_source, "source"),
-        sides(ledger.clean_target, "target"),
+    gap = F.sum(F.coalesce("Amount_Source", F.lit(0)) - F.coalesce("Amount_Target", F.lit(0)))
+    return (
         rows(
             ledger.groups,
-            matched=count_status("Matched"),
-            amount_mismatch=count_status("Amount Mismatch"),
-            only_in_source=count_status("Only In Source"),
-            only_in_target=count_status("Only In Target"),
-            tier2_matches=count_status("Tier2 Match", "Tier2 Amount Mismatch"),
-            invoice_difference=F.sum(F.coalesce("Amount_Source", F.lit(0)) - F.coalesce("Amount_Target", F.lit(0))),
-            net_diff=F.sum(F.coalesce("Amount_Source", F.lit(0)) - F.coalesce("Amount_Target", F.lit(0))),
-        ),
-        rows(ledger.exceptions_source, source_exceptions=F.count(F.lit(1))),
-        rows(ledger.exceptions_target, target_exceptions=F.count(F.lit(1))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            **side("Source"), **side("Target"),
+            matched=count_status("Matched"), amount_mismatch=count_status("Amount Mismatch"),
+            only_in_source=count_status("Only In Source"), only_in_target=count_status("Only In Target"),
+            tier2_matches=count_status("Tier2 Match", "Tier2 Amount Mismatch"), invoice_difference=gap, net_diff=gap,
+        )
+        .unionByName(rows(ledger.exceptions_source, source_exceptions=F.count(F.lit(1))))
+        .unionByName(rows(ledger.exceptions_target, target_exceptions=F.count(F.lit(1))))
+    )
 
 
 def require_fields(mapping: dict[str, str | None], fields: tuple = ("TxnNumber", "Amount")) -> None:

@@ -7,7 +7,7 @@ w1*w2 + |rest1|*|rest2| can reach t, and then scored in full. Nothing is capped
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablematch.config import DEFAULTS, Settings
 from tablematch.functions.text import char_grams
@@ -25,8 +25,9 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 
 
 def vectors(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Unit vectors (side, id, n, vec) with vec = array<struct<df, gram, w>> ordered by (df, gram). Weights are
-    tf * (ln((1 + N) / (1 + df)) + 1) with N and df counted over the rows of both sides."""
+    """Unit vectors in long form: (side, id, n, df, gram, w, mass), `mass` being the squared norm of the n-gram and all
+    that follow it by (df, gram). Weights are tf * (ln((1 + N) / (1 + df)) + 1) with N and df counted over the rows of
+    both sides. A window holds the n-grams of one text."""
     texts = left.select(F.lit("l").alias("side"), "*").unionByName(right.select(F.lit("r").alias("side"), "*"))
     grams = (
         texts.select("side", "id", "n", F.explode(char_grams(F.col("text"))).alias("gram"))
@@ -35,35 +36,21 @@ def vectors(left: DataFrame, right: DataFrame) -> DataFrame:
     rows = texts.agg(F.sum("n")).scalar()
     spread = grams.groupBy("gram").agg(F.sum("n").alias("df"))
     weight = F.col("tf") * (F.log((F.lit(1) + rows) / (F.lit(1) + F.col("df"))) + F.lit(1))
-    raw = (
-        grams.join(spread, "gram")
-        .groupBy("side", "id", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "gram", weight.alias("w")))).alias("raw"))
-    )
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return raw.withColumn("norm", norm).select(
-        "side", "id", "n",
-        F.transform("raw", lambda x: F.struct(x["df"].alias("df"), x["gram"].alias("gram"), (x["w"] / F.col("norm")).alias("w"))).alias("vec"),
+    ordered = Window.partitionBy("side", "id").orderBy("df", "gram")
+    square = F.col("raw") * F.col("raw")
+    total = F.sum(square).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.coalesce(F.sum(square).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    weighted = grams.join(spread, "gram").withColumn("raw", weight).withColumn("total", total).withColumn("before", before)
+    return weighted.select(
+        "side", "id", "n", "df", "gram", (F.col("raw") / F.sqrt("total")).alias("w"), ((F.col("total") - F.col("before")) / F.col("total")).alias("mass")
     )
 
 
 def _leading(vecs: DataFrame, side: str, threshold: float) -> DataFrame:
     """Leading n-grams of each vector with their weight and the norm of what follows."""
-
-    def before(i):
-        return F.aggregate(F.slice(F.col("vec"), F.lit(1), i), F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-
-    tagged = F.transform(
-        "vec",
-        lambda x, i: F.struct(
-            x["gram"].alias("gram"), x["w"].alias("w"), (F.lit(1.0) - before(i)).alias("mass"),
-        ),
-    )
-    kept = F.filter(tagged, lambda x: x["mass"] >= F.lit(threshold * threshold - _SLACK))
-    rest = F.sqrt(F.greatest(F.col("g.mass") - F.col("g.w") * F.col("g.w"), F.lit(0.0)))
-    return (
-        vecs.where(F.col("side") == side).select("id", F.explode(kept).alias("g"))
-        .select(F.col("id").alias(f"{side}_id"), "g.gram", F.col("g.w").alias(f"{side}_w"), rest.alias(f"{side}_rest"))
+    rest = F.sqrt(F.greatest(F.col("mass") - F.col("w") * F.col("w"), F.lit(0.0)))
+    return vecs.where((F.col("side") == side) & (F.col("mass") >= threshold * threshold - _SLACK)).select(
+        F.col("id").alias(f"{side}_id"), "gram", F.col("w").alias(f"{side}_w"), rest.alias(f"{side}_rest")
     )
 
 
@@ -78,17 +65,24 @@ def candidates(vecs: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_pairs(vecs: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (l_id, r_id, score) of cosine >= threshold, with the row counts of both texts."""
+    """All pairs (l_id, r_id, score) of cosine >= threshold, with the row counts of both texts.
+
+    The two vectors of a pair, both in (df, gram) order, are merged into one sorted array, in which shared n-grams
+    stand next to each other.
+    """
 
     def side(name: str) -> DataFrame:
-        vec = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["gram"], x["w"]))) if name == "r" else F.col("vec")
-        return vecs.where(F.col("side") == name).select(
-            F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), vec.alias(f"{name}_vec")
-        )
+        vec = F.sort_array(F.collect_list(F.struct("df", "gram", "w"))).alias(f"{name}_vec")
+        whole = vecs.where(F.col("side") == name).groupBy(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"))
+        return whole.agg(vec)
 
-    dot = F.aggregate(
-        "l_vec", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(F.col("r_vec"), x["gram"]), F.lit(0.0))
-    )
+    def step(a, x):
+        product = F.when(a["gram"] == x["gram"], a["w"] * x["w"]).otherwise(F.lit(0.0))
+        return F.struct(x["gram"].alias("gram"), x["w"].alias("w"), (a["dot"] + product).alias("dot"))
+
+    start = F.struct(F.lit("").alias("gram"), F.lit(0.0).alias("w"), F.lit(0.0).alias("dot"))
+    merged = F.sort_array(F.concat("l_vec", "r_vec"))
+    dot = F.aggregate(merged, start, step, lambda a: a["dot"])
     return (
         candidates(vecs, threshold).join(side("l"), "l_id").join(side("r"), "r_id")
         .select("l_id", "r_id", "l_n", "r_n", F.round(dot, 12).alias("score"))

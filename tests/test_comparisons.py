@@ -31,8 +31,8 @@ def frame(spark, columns, rows):
 
 def test_suggested_keys_of_differently_named_tables(spark):
     s = spark.createDataFrame(
-        [("101", "Krishna Tiwari", "+919876543210", 4500.0, 0), ("102", "Rahul Sharma", "+919876543211", 6000.0, 1),
-         ("103", "Amit Kumar", "+919876543212", 7500.0, 2), ("104", "Priya Singh", "+919876543213", 3200.0, 3)],
+        [("501", "Ada Byron", "+441632960001", 120.5, 0), ("502", "Max Born", "+441632960002", 80.0, 1),
+         ("503", "Emmy Noether", "+441632960003", 99.9, 2), ("504", "Karl Gauss", "+441632960004", 42.0, 3)],
         "client_identifier string, person_full_name string, telephone string, purchase_value double, _rid long",
     )
     t = s.toDF("cust_number", "customer", "mobile_contact", "transaction_amount", "_rid")
@@ -42,16 +42,17 @@ def test_suggested_keys_of_differently_named_tables(spark):
     assert got == dict(zip(s.columns[:4], t.columns[:4]))
 
 
-def test_suggested_keys_hr(spark):
-    rows = [("EMP01", "Engineering", "2022-01-15", 95000, 0), ("EMP02", "Finance", "2021-06-20", 85000, 1), ("EMP03", "HR", "2023-03-10", 70000, 2)]
+def test_suggested_keys_of_staff_tables(spark):
+    rows = [("W-7", "Sales", "2020-03-01", 51000, 0), ("W-8", "Legal", "2019-11-15", 64000, 1), ("W-9", "Sales", "2023-07-30", 48000, 2)]
     s = spark.createDataFrame(rows, "worker_code string, division string, hire_date string, compensation int, _rid long")
     assert suggested_key(s) == "worker_code"
     assert suggested_key(s.toDF("employee_number", "department_name", "joining_date", "annual_salary", "_rid")) == "employee_number"
 
 
 def test_row_pairs(spark):
-    s = spark.createDataFrame([("Krishna", "Pune", 50000, 0), ("Rahul", "Delhi", 60000, 1), ("Amit", "Mumbai", 70000, 2)], "name string, city string, salary int, _rid long")
-    t = spark.createDataFrame([("Amit", "Mumbai", 70000, 0), ("Krishna", "Pune", 50000, 1), ("Rahul", "Delhi", 65000, 2)], "name string, city string, salary int, _rid long")
+    schema = "name string, place string, units int, _rid long"
+    s = spark.createDataFrame([("Oak", "Bonn", 7, 0), ("Elm", "Ulm", 8, 1), ("Ash", "Kiel", 9, 2)], schema)
+    t = spark.createDataFrame([("Ash", "Kiel", 9, 0), ("Oak", "Bonn", 7, 1), ("Elm", "Ulm", 11, 2)], schema)
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "source_rid long, target_rid long")
     assert rw.pair_errors(pairs, s, t).count() == 0
     got = {(r.source_rid, r.target_rid): r.status for r in rw.compare_row_pairs(s, t, pairs).collect()}
@@ -59,8 +60,8 @@ def test_row_pairs(spark):
 
 
 def test_name_lookup_with_city_tie_break(spark):
-    s = frame(spark, ["entity", "city", "state"], [("Alpha Corp", "Mumbai", "MH"), ("Beta Pvt Ltd", "Delhi", "DL"), ("Gamma Inc", "Pune", "MH"), ("Delta Services", "Chennai", "TN")])
-    t = frame(spark, ["party", "town", "number"], [("Beta Pvt Ltd", "Mumbai", "P1"), ("Alpha Corp", "Mumbai", "P2"), ("Gamma Inc", "Pune", "P3"), ("Beta Pvt Ltd", "Delhi", "P4")])
+    s = frame(spark, ["entity", "city"], [("Oak & Co", "Bonn"), ("Elm Ltd.", "Ulm"), ("Ash AG", "Kiel"), ("Fir KG", "Trier")])
+    t = frame(spark, ["party", "town"], [("ELM LTD", "Bonn"), ("Oak Co", "Bonn"), ("Ash AG", "Hof"), ("Elm Ltd", "Ulm")])
     got = {r.source_rid: (r.method, r.target_rid) for r in rw.lookup_names(s, t, "entity", "party", "city", "town").collect()}
     assert got == {0: ("Name Only", 1), 1: ("Name+City", 3), 2: ("Name Only", 2), 3: ("NO MATCH", None)}
 
