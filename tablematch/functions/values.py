@@ -70,7 +70,8 @@ def _read_date(t: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Date of a text in one of the accepted formats (year first, month/day/year with day/month/year as the second
     reading, or a month name), else null. A pattern test guards each cast, so plain texts cost two regexes."""
-    return bind(F.trim(c.cast("string")), _read_date)
+    t = F.trim(c.cast("string"))
+    return F.coalesce(F.when(t.rlike(_ISO_DATE), t.try_cast("date")), bind(t, _read_date))
 
 
 def canonical(c: Column) -> Column:

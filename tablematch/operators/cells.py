@@ -84,16 +84,15 @@ def compare_pairs(pairs: DataFrame, layout: Layout) -> DataFrame:
     return compared.select(*pairs.columns, status.alias("status"), "diffs", row_date(layout).alias("row_date"))
 
 
+def date_text(layout: Layout) -> Column:
+    """Date cell of the row as it stands: the source side's, the target's for rows without a source."""
+    sides = [F.col(side).getField(layout.date) for side, names in (("src", layout.source), ("tgt", layout.target)) if layout.date in names]
+    return F.coalesce(*sides)
+
+
 def row_date(layout: Layout) -> Column:
-    """Day of the row: the source side's date, the target's for rows without a source."""
-    if not layout.date:
-        return F.lit("Undated")
-    side = []
-    if layout.date in layout.source:
-        side.append(F.col("src").getField(layout.date))
-    if layout.date in layout.target:
-        side.append(F.col("tgt").getField(layout.date))
-    return day_of(F.coalesce(*side))
+    """Day of the row."""
+    return day_of(date_text(layout)) if layout.date else F.lit("Undated")
 
 
 def diffs_of(kind: str, diffs: str | Column = "diffs") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tablematch.functions.values import day_of
-from tablematch.operators.cells import has_kind
+from tablematch.operators.cells import date_text, has_kind
 from tablematch.operators.master import Comparison
 
 METRICS = [
@@ -21,26 +21,28 @@ def drop_future(days: DataFrame, as_of: str) -> DataFrame:
 
 
 def day_counts(comparison: Comparison) -> DataFrame:
-    """(day, metric, n), every part aggregated on its own before the union."""
+    """(day, metric, n), possibly several rows per day. Every part is counted by the date text as it stands, so that
+    only distinct texts are parsed."""
     date = comparison.layout.date
 
     def of_table(df: DataFrame, metric: str) -> DataFrame:
-        return df.groupBy(day_of(F.col(f"`{date}`")).alias("day")).agg(F.count("*").alias("n")).withColumn("metric", F.lit(metric))
+        counts = df.groupBy(F.col(f"`{date}`").alias("text")).agg(F.count("*").alias("n"))
+        return counts.select("text", F.lit(metric).alias("metric"), "n")
 
-    def of_rows(test, metric: str):
+    def when(test, metric: str):
         return F.when(test, F.lit(metric))
 
     paired = F.col("status").isin("Updated", "Format Only")
     kinds = F.array_compact(F.array(
-        of_rows(F.col("status") == "Deleted", "missing_in_target"),
-        of_rows(F.col("status") == "Added", "missing_in_source"),
-        of_rows(paired & has_kind("value"), "mismatches"),
-        of_rows(paired & has_kind("format"), "format_inconsistencies"),
+        when(F.col("status") == "Deleted", "missing_in_target"),
+        when(F.col("status") == "Added", "missing_in_source"),
+        when(paired & has_kind("value"), "mismatches"),
+        when(paired & has_kind("format"), "format_inconsistencies"),
     ))
     out = (
         comparison.rows.where("status not in ('Matched', 'Renamed')")
-        .select(F.col("row_date").alias("day"), F.explode(kinds).alias("metric"))
-        .groupBy("day", "metric").agg(F.count("*").alias("n"))
+        .select(date_text(comparison.layout).alias("text"), F.explode(kinds).alias("metric"))
+        .groupBy("text", "metric").agg(F.count("*").alias("n"))
     )
     parts = [(comparison.source, "source_records"), (comparison.target, "target_records")]
     if comparison.duplicates_source is not None:
@@ -48,7 +50,7 @@ def day_counts(comparison: Comparison) -> DataFrame:
     for df, metric in parts:
         if date in df.columns:
             out = out.unionByName(of_table(df, metric))
-    return out
+    return out.select(day_of(F.col("text")).alias("day"), "metric", "n")
 
 
 def day_summary(comparison: Comparison, as_of: str) -> DataFrame:

@@ -25,11 +25,13 @@ def value_history(snapshots: DataFrame, columns: list[str] | None = None, only_c
     cells = snapshots.select("series_id", "version", "row_key", F.explode("row_data").alias("column_name", "value"))
     if columns:
         cells = cells.where(F.col("column_name").isin(*columns))
-    seen = cells.where("value is not null").withColumn("canon", canonical(F.col("value")))
-    grouped = seen.groupBy("series_id", "row_key", "column_name").agg(
-        (F.min("canon") != F.max("canon")).alias("changed"),
-        F.sort_array(F.collect_list(F.struct("version", "value"))).alias("cells"),
+    grouped = cells.where("value is not null").groupBy("series_id", "row_key", "column_name").agg(
+        F.sort_array(F.collect_list(F.struct("version", "value"))).alias("cells")
     )
+    # canonical forms are needed only where the texts differ
+    texts = F.transform("cells", lambda x: x["value"])
+    differ = F.size(F.array_distinct(F.transform(texts, canonical))) > 1
+    grouped = grouped.withColumn("changed", F.when(F.size(F.array_distinct(texts)) == 1, False).otherwise(differ))
     if only_changed:
         grouped = grouped.where("changed")
     shown = F.transform("cells", lambda x: F.struct(x["version"], display_value(x["value"])))

@@ -8,7 +8,7 @@ from tablematch.config import DEFAULTS, Settings
 from tablematch.functions.values import percent, strict_number
 from tablematch.operators.cells import has_kind
 from tablematch.operators.days import busiest_day
-from tablematch.operators.master import Comparison
+from tablematch.operators.master import Comparison, duplicate_keys
 from tablematch.plans.skew import durable, top_per_group
 
 BUCKETS = (
@@ -36,12 +36,18 @@ def bucket_counts(comparison: Comparison) -> DataFrame:
         F.count("*").alias("full_comparison"),
     )
 
-    def size(df: DataFrame | None) -> Column:
-        return F.lit(0).cast("long") if df is None else df.agg(F.count("*")).scalar()
+    def size(df: DataFrame) -> Column:
+        return df.agg(F.count("*")).scalar()
+
+    def repeated(df: DataFrame) -> Column:
+        """Rows in duplicate groups, from the group sizes alone."""
+        if comparison.duplicates_source is None:
+            return F.lit(0).cast("long")
+        return duplicate_keys(df, comparison.layout.keys).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
 
     return (
-        rows.withColumn("duplicates_source", size(comparison.duplicates_source))
-        .withColumn("duplicates_target", size(comparison.duplicates_target))
+        rows.withColumn("duplicates_source", repeated(comparison.source))
+        .withColumn("duplicates_target", repeated(comparison.target))
         .withColumn("source_record_count", size(comparison.source))
         .withColumn("target_record_count", size(comparison.target))
     )

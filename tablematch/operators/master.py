@@ -63,9 +63,20 @@ def _with_keys(pairs: DataFrame, side: str, keys: list[str], names: list[str]) -
     return pairs.withColumn(side, F.when(F.col(side).isNotNull(), F.struct(*fields)))
 
 
-def _surplus(df: DataFrame, one_sided: DataFrame, keys: list[str], side: str, names: list[str]) -> DataFrame:
+def one_sided_repeats(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeated keys that only one side has, with their first ordinal: one aggregate over the keys of both tables."""
+    mine = source.select(*keys, F.lit(1).alias("_s"), F.lit(0).alias("_t"), "_rid")
+    theirs = target.select(*keys, F.lit(0).alias("_s"), F.lit(1).alias("_t"), "_rid")
+    sizes = mine.unionByName(theirs).groupBy(*keys).agg(
+        F.sum("_s").alias("n_s"), F.sum("_t").alias("n_t"), F.min("_rid").alias("first_rid")
+    )
+    return sizes.where("(n_t = 0 and n_s > 1) or (n_s = 0 and n_t > 1)")
+
+
+def _surplus(df: DataFrame, repeats: DataFrame, keys: list[str], side: str, names: list[str]) -> DataFrame:
     """Later rows of repeated keys that the other side does not have."""
-    return df.join(one_sided, keys).where("_rid <> first_rid").select(*keys, F.struct(*names, "_rid").alias(side))
+    wanted = repeats.select(*keys, "first_rid")
+    return df.join(wanted, keys).where("_rid <> first_rid").select(*keys, F.struct(*names, "_rid").alias(side))
 
 
 def compare_master(
@@ -86,11 +97,9 @@ def compare_master(
     pairs = _with_keys(_with_keys(joined, "src", keys, layout.source), "tgt", keys, layout.target)
     pairs = pairs.select(*keys, "src", "tgt")
 
-    def one_sided(mine: DataFrame, other: DataFrame) -> DataFrame:
-        return missing(duplicate_keys(mine, keys).select(*keys, "first_rid"), other, keys)
-
-    deleted = _surplus(source, one_sided(source, target), keys, "src", layout.source)
-    added = _surplus(target, one_sided(target, source), keys, "tgt", layout.target)
+    repeats = one_sided_repeats(source, target, keys)
+    deleted = _surplus(source, repeats.where("n_t = 0"), keys, "src", layout.source)
+    added = _surplus(target, repeats.where("n_s = 0"), keys, "tgt", layout.target)
     pairs = pairs.unionByName(deleted, allowMissingColumns=True).unionByName(added, allowMissingColumns=True)
     rows = compare_pairs(pairs, layout).withColumn("confidence", F.lit(None).cast("double"))
     if similar:

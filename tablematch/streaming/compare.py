@@ -73,8 +73,10 @@ def store_version(
     # the compared target carries the aligned column names, which the next version will be compared with
     store.write_data(result.target, series_id, version)
     store.write_diff(result.rows, result.layout, series_id, version)
-    if before is not None:
-        store.write_snapshot(result.source, result.layout.keys, series_id, before["version"])
+    rekeyed = before is not None and list(before["key_columns"] or []) != result.layout.keys
+    if against is None and (version == 1 or rekeyed):
+        # the predecessor's snapshot is missing (baseline) or was keyed otherwise
+        store.write_snapshot(result.source, result.layout.keys, series_id, version - 1)
     store.write_snapshot(result.target, result.layout.keys, series_id, version)
     entry.update(
         key_columns=result.layout.keys, data_type=result.data_type, added=counts["missing_in_source"],
