@@ -21,36 +21,28 @@ def drop_future(days: DataFrame, as_of: str) -> DataFrame:
 
 
 def day_counts(comparison: Comparison) -> DataFrame:
-    """(day, metric, n), possibly several rows per day. Every part is counted by the date text as it stands, so that
-    only distinct texts are parsed."""
+    """Counts per day, possibly several rows per day. Every table is counted in one pass by the date text as it
+    stands, so that only distinct texts are parsed."""
     date = comparison.layout.date
 
     def of_table(df: DataFrame, metric: str) -> DataFrame:
-        counts = df.groupBy(F.col(f"`{date}`").alias("text")).agg(F.count("*").alias("n"))
-        return counts.select("text", F.lit(metric).alias("metric"), "n")
-
-    def when(test, metric: str):
-        return F.when(test, F.lit(metric))
-
-    paired = F.col("status").isin("Updated", "Format Only")
-    kinds = F.array_compact(F.array(
-        when(F.col("status") == "Deleted", "missing_in_target"),
-        when(F.col("status") == "Added", "missing_in_source"),
-        when(paired & has_kind("value"), "mismatches"),
-        when(paired & has_kind("format"), "format_inconsistencies"),
-    ))
-    out = (
-        comparison.rows.where("status not in ('Matched', 'Renamed')")
-        .select(date_text(comparison.layout).alias("text"), F.explode(kinds).alias("metric"))
-        .groupBy("text", "metric").agg(F.count("*").alias("n"))
+        return df.groupBy(F.col(f"`{date}`").alias("text")).agg(F.count("*").alias(metric))
+
+    status, paired = F.col("status"), F.col("confidence").isNull()
+    out = comparison.rows.groupBy(date_text(comparison.layout).alias("text")).agg(
+        F.count_if(status == "Deleted").alias("missing_in_target"),
+        F.count_if(status == "Added").alias("missing_in_source"),
+        F.count_if(paired & has_kind("value")).alias("mismatches"),
+        F.count_if(paired & has_kind("format")).alias("format_inconsistencies"),
     )
     parts = [(comparison.source, "source_records"), (comparison.target, "target_records")]
     if comparison.duplicates_source is not None:
         parts += [(comparison.duplicates_source, "duplicates_source"), (comparison.duplicates_target, "duplicates_target")]
     for df, metric in parts:
         if date in df.columns:
-            out = out.unionByName(of_table(df, metric))
-    return out.select(day_of(F.col("text")).alias("day"), "metric", "n")
+            out = out.unionByName(of_table(df, metric), allowMissingColumns=True)
+    per_text = out.groupBy("text").agg(*[F.sum(m).alias(m) for m in out.columns if m != "text"])
+    return per_text.select(day_of(F.col("text")).alias("day"), *per_text.columns[1:])
 
 
 def day_summary(comparison: Comparison, as_of: str) -> DataFrame:
@@ -58,8 +50,11 @@ def day_summary(comparison: Comparison, as_of: str) -> DataFrame:
     if not comparison.layout.date:
         spark = comparison.rows.sparkSession
         return spark.createDataFrame([], "day string, " + ", ".join(f"{m} long" for m in METRICS))
-    wide = day_counts(comparison).groupBy("day").pivot("metric", METRICS).agg(F.sum("n"))
-    return drop_future(wide.select("day", *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in METRICS]), as_of)
+    counts = day_counts(comparison)
+    sums = [
+        (F.coalesce(F.sum(m), F.lit(0)) if m in counts.columns else F.lit(0)).cast("long").alias(m) for m in METRICS
+    ]
+    return drop_future(counts.groupBy("day").agg(*sums), as_of)
 
 
 def _issue_total():

@@ -24,7 +24,7 @@ def status_counts(rows: DataFrame) -> DataFrame:
 def bucket_counts(comparison: Comparison) -> DataFrame:
     """One row with the size of every bucket and of both tables. A row with value and format changes is in both
     buckets; `matched` counts rows without any change."""
-    paired = F.col("status").isin("Updated", "Format Only")
+    paired = F.col("confidence").isNull()
     status = F.col("status")
     rows = comparison.rows.agg(
         F.count_if(status == "Deleted").alias("missing_in_target"),
@@ -69,10 +69,10 @@ def churn(counts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def cell_changes(rows: DataFrame, renamed: bool = False) -> DataFrame:
-    """One line per changed cell: column_name, source_value, target_value, kind."""
-    wanted = ["Updated", "Format Only"] + (["Renamed"] if renamed else [])
-    cells = rows.where(F.col("status").isin(*wanted)).select(F.inline("diffs"))
-    return cells.withColumnRenamed("column", "column_name")
+    """One line per changed cell: column_name, source_value, target_value, kind. Renamed records are told by their
+    confidence, which costs nothing, rather than by the status, which is derived from the differences."""
+    picked = rows if renamed else rows.where("confidence is null")
+    return picked.select(F.inline("diffs")).withColumnRenamed("column", "column_name")
 
 
 def column_changes(rows: DataFrame, renamed: bool = False) -> DataFrame:

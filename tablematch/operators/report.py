@@ -83,7 +83,7 @@ def issue_sheet(comparison: Comparison, kind: str = "value", before: str = "Sour
     """Updated (kind 'value') or format-only (kind 'format') records: both values of the columns that changed in any
     of them, the other columns once."""
     layout = comparison.layout
-    rows = comparison.rows.where(F.col("status").isin("Updated", "Format Only") & has_kind(kind)).withColumn("diffs", diffs_of(kind))
+    rows = comparison.rows.where(F.col("confidence").isNull() & has_kind(kind)).withColumn("diffs", diffs_of(kind))
     names = F.array_join(F.transform("diffs", lambda d: d["column"]), ", ")
     first = [F.lit("Updated").alias("Status"), *[F.col(k).alias(_own_name(k)) for k in layout.keys], names.alias("Changed Columns")]
     return _before_after(rows, layout, before, after, first, columns_changed(rows, layout))
