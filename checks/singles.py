@@ -180,7 +180,7 @@ def s20(spark, sf_dir):
 def a2(spark, sf_dir):
     s = fx.b2_source(spark, sf_dir)
     bare = s.withColumn("TxnType", F.lit(None).cast("string"))
-    return s.agg(F.count("*").alias("n")).withColumn("both", lg.type_usable(s, s)).withColumn("one", lg.type_usable(s, bare))
+    return s.agg(F.count("*").alias("n")).withColumn("both", F.lit(lg.type_usable(s, s))).withColumn("one", F.lit(lg.type_usable(s, bare)))
 
 
 @query("L2_page_size", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 25")

@@ -10,6 +10,7 @@ from tablematch.config import DEFAULTS, Settings
 from tablematch.functions.text import null_like, strip_suffix
 from tablematch.functions.values import within_tolerance
 from tablematch.operators.master import duplicate_keys
+from tablematch.plans.skew import durable
 
 KEY = ["TxnNumber", "TxnType"]
 MONEY = "decimal(28,2)"
@@ -29,28 +30,25 @@ class Ledger:
     tolerance: float
 
 
-def type_usable(source: DataFrame, target: DataFrame) -> Column:
-    """Does TxnType hold a value on both sides? Two scalar subqueries; the plan stays lazy."""
-    has_type = F.count_if(~null_like(F.col("TxnType"))) > 0
-    return source.agg(has_type).scalar() & target.agg(has_type).scalar()
+def type_usable(source: DataFrame, target: DataFrame) -> bool:
+    """Does TxnType hold a value on both sides? Each look stops at the first value found."""
+    return all(not df.where(~null_like(F.col("TxnType"))).isEmpty() for df in (source, target))
 
 
-def flag_exceptions(df: DataFrame, by_type: Column) -> DataFrame:
+def flag_exceptions(df: DataFrame, by_type: bool) -> DataFrame:
     """Add `reason`: why a row cannot take part, null for clean rows. With a usable type, a row without one is an
     exception too, since it could not be found in any group. Numbers are trimmed; an unusable type is blanked."""
-    reason = (
-        F.when(null_like(F.col("TxnNumber")), "blank number")
-        .when(F.col("Amount").isNull(), "no amount")
-        .when(by_type & null_like(F.col("TxnType")), "blank type")
-    )
+    reason = F.when(null_like(F.col("TxnNumber")), "blank number").when(F.col("Amount").isNull(), "no amount")
+    if by_type:
+        reason = reason.when(null_like(F.col("TxnType")), "blank type")
     return (
         df.withColumn("reason", reason)
         .withColumn("TxnNumber", F.coalesce(F.trim(F.col("TxnNumber").cast("string")), F.lit("")))
-        .withColumn("TxnType", F.coalesce(F.when(by_type, F.col("TxnType")), F.lit("")))
+        .withColumn("TxnType", F.coalesce(F.col("TxnType"), F.lit("")) if by_type else F.lit(""))
     )
 
 
-def split_exceptions(df: DataFrame, by_type: Column) -> tuple[DataFrame, DataFrame]:
+def split_exceptions(df: DataFrame, by_type: bool) -> tuple[DataFrame, DataFrame]:
     flagged = flag_exceptions(df, by_type)
     return flagged.where("reason is null").drop("reason"), flagged.where("reason is not null")
 
@@ -118,7 +116,8 @@ def compare_ledger(source: DataFrame, target: DataFrame, settings: Settings = DE
     by_type = type_usable(source, target)
     s, s_bad = split_exceptions(source, by_type)
     t, t_bad = split_exceptions(target, by_type)
-    groups = outer_groups(s, t, tolerance)
+    # read three times below: written once, so that the lines are aggregated and joined once
+    groups = durable(outer_groups(s, t, tolerance))
     tier2 = suffix_matches(groups, tolerance)
     stemmed = groups.withColumn("Stem", strip_suffix(F.col("TxnNumber")))
     both = stemmed.where("MatchStatus in ('Matched', 'Amount Mismatch')")
