@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.comparisons import KEYS, b1, b1_comparison, b2_ledger, b3, or_none
+from checks.comparisons import KEYS, b1_comparison, b2_ledger, b3, or_none
 from checks.registry import query
 from checks.scans import scratch
 from tablematch.functions import values as vl
-from tablematch.operators import align as al
 from tablematch.operators import days as dy
 from tablematch.operators import history as hs
 from tablematch.operators import insights as ins
 from tablematch.operators import ledger as lg
-from tablematch.operators import metrics as mt
 from tablematch.operators import profile as pf
 from tablematch.operators import report as rp
 from tablematch.operators import rowpairs as rw
 from tablematch.operators import schema_match as sm
 from tablematch.operators import search as se
-from tablematch.operators.cells import as_records, changed_columns
+from tablematch.operators.cells import as_records
 from tablematch.operators.clean import normalize
 from tablematch.operators.lines import compare_lines
 from tablematch.operators.master import compare_master
-from tablematch.plans.assign import best_first, match_texts
-from tablematch.plans.similarity import distinct_texts, text_similarities
+from tablematch.plans.assign import match_texts
+from tablematch.plans.similarity import text_similarities
 from tablematch.plans.skew import durable
-from tablematch.sources import catalog as ct
 from tablematch.vocabulary import default_vocabulary
 
 # ---- profiles and keys --------------------------------------------------------------------------------------------

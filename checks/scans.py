@@ -17,7 +17,6 @@ from tablematch.sources import catalog as ct
 from tablematch.sources import readers as rd
 from tablematch.sources.ordinal import internal_id, with_ordinal, with_ordinal_by
 from tablematch.sources.text_chunks import chunk_records, chunk_rows
-from tablematch.vocabulary import default_vocabulary
 
 ORDERS_TEXT = f"WITH {fx.SQL_ORDERS}, {fx.SQL_B1_SOURCE}, {fx.sql_b1_target()}\n"
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.analysis import b8_comparison, row_tables
 from checks.comparisons import b1, b1_comparison, b3
 from checks.registry import query
-from checks.scans import FIELDS, grid_file, scratch, stage_two_batches
+from checks.scans import FIELDS, grid_file, stage_two_batches
 from checks.series import METRICS, chain
 from tablematch.config import DEFAULTS
 from tablematch.functions import text as tx
