@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablematch.config import DEFAULTS, Settings
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tablematch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """Shared folder for intermediate tables: `spark.checkpoint.dir` as the cluster names it, or a folder of the
+    warehouse where that is unset. Each application has its own, which is removed when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    folder = f"{base.rstrip('/')}/tablematch-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: the lineage ends here and survives lost executors, and
-    the table's real size is known to the planner from then on."""
-    path = f"{work_folder(df.sparkSession)}/tablematch/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the work folder and read it back: the lineage ends here and survives lost executors, and the
+    table's real size is known to the planner from then on. The shuffle files of the write go when it ends."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of `durable` tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = work_folder(spark)
+        for file in table.inputFiles():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.toString().rpartition("/")[0].endswith(folder.rpartition("/")[2]):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                break
 
 
 def hot_groups(df: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
