@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablematch.llm import packing, rules, simhash, substrings
+from tablematch.llm import lines, mixing, packing, rules, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir)).drop("char_distance", "word_distance")
+
+
+@query
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeated_lines(documents(spark, sf_dir), min_lines=2)
+
+
+ORACLES["op1_lines"] = lines.SQL
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+ORACLES["op2_mixing"] = mixing.SQL
