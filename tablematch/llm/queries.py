@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablematch.llm import lines, mixing, packing, rules, simhash, substrings
+from tablematch.llm import caps, lines, mixing, packing, quality, rules, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mixing"] = mixing.SQL
+
+
+@query
+def op5_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
