@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablematch.llm import caps, lines, mixing, packing, quality, rules, simhash, substrings
+from tablematch.llm import caps, lines, maxent, mixing, packing, quality, rules, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,23 @@ def op5_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+
+    def page(name: str):
+        return F.regexp_extract(name, "([0-9-]+)$", 1).try_cast("long")
+
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to")
+    )
+
+
+ORACLES["op8_warc"] = warc.SQL
+
+
+@query
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
