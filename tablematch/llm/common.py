@@ -19,11 +19,11 @@ def words(text: str | Column) -> Column:
     return F.array_remove(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACES), "")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _h, _text): `_h` tells rows of one id apart by their text, so that (_id, _h) stands for one id and text.
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(_id, _h, _text, *more): `_h` tells rows of one id apart by their text, so that (_id, _h) stands for one id and text.
     Rows equal in both get equal results. A null text is empty; a null id is an id of its own."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"), *more)
 
 
 def same_key(a: DataFrame, b: DataFrame) -> Column:

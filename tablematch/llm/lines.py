@@ -56,24 +56,38 @@ def remove_repeated_lines(
     `n_runs` and `longest_run` tell the maximal runs that went. Ids are integers; null ids come last. Rows equal in id and
     text are one document and get the same result; rows of one id with different texts are ordered by their hash. A null
     text is one empty line; an empty table gives an empty result; other columns are not read."""
+    out = _without(keyed(docs, id_col, text_col), min_lines)
+    lengths = F.zip_with("heads", "tails", lambda a, b: b - a + 1)
+    return out.select(
+        F.col("_id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
+        F.size("heads").cast("long").alias("n_runs"), F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("longest_run"),
+        F.col("kept").alias("kept_text"),
+    )
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """`docs` with all rows and columns, but the text without the lines that `remove_repeated_lines` removes."""
+    rest = [c for c in docs.columns if c != text_col]
+    out = _without(keyed(docs, id_col, text_col, F.struct(*rest).alias("_rest")), min_lines)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns])
+
+
+def _without(rows: DataFrame, min_lines: int) -> DataFrame:
+    """`rows` (see `keyed`) with lines, numbers of those to go, heads and tails of the runs they form, and the text kept."""
     if min_lines < 1:
         raise ValueError("a run has one line at least")
-    rows = keyed(docs, id_col, text_col)
-    starts = durable(repeated_places(rows, min_lines).groupBy("_id", "_h").agg(F.collect_set("line").alias("starts")))
+    places = repeated_places(rows.select("_id", "_h", "_text"), min_lines)
+    starts = durable(places.groupBy("_id", "_h").agg(F.collect_set("line").alias("starts")))
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(min_lines - 1))))
-    both = (
+    rest = [c for c in rows.columns if c not in ("_id", "_h", "_text")]
+    return (
         rows.join(starts, same_key(rows, starts), "left")
-        .select(rows["_id"], F.split("_text", "\n").alias("lines"), F.sort_array(F.array_distinct(covered)).alias("gone"))
+        .select(rows["_id"], *rest, F.split("_text", "\n").alias("lines"), F.sort_array(F.array_distinct(covered)).alias("gone"))
         .withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
         .withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
         .withColumn("heads", F.filter("gone", lambda x, j: F.coalesce(F.get("gone", j - 1) < x - 1, F.lit(True))))
         .withColumn("tails", F.filter("gone", lambda x, j: F.coalesce(F.get("gone", j + 1) > x + 1, F.lit(True))))
-    )
-    lengths = F.zip_with("heads", "tails", lambda a, b: b - a + 1)
-    return both.select(
-        F.col("_id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"),
-        F.size("heads").cast("long").alias("n_runs"), F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("longest_run"),
-        F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n").alias("kept_text"),
+        .withColumn("kept", F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
     )
 
 

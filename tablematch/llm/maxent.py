@@ -23,7 +23,7 @@ OWN, ENDINGS, ROWS = 32, 32, 1 << 15
 #: Words whose counts every executor holds, and of them those that are told apart in the text before.
 FREQUENT, CONTEXT, ENDING_BITS = 65_536, 4096, 10
 #: One token in so many trains; rounds of updates; tasks of a round; step and batch of an update.
-EVERY, ROUNDS, TASKS, STEP, BATCH = 16, 3, 128, 0.15, 1024
+EVERY, ROUNDS, TASKS, STEP, BATCH = 8, 3, 128, 0.15, 1024
 _END = hashes([b""])[0]
 _START = np.uint64(0xA5A5A5A5A5A5A5A5)
 
