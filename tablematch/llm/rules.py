@@ -14,29 +14,22 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un une du que est pour dans au",
     "es": "de la que el en y los del se las por un con una su",
 }
-# Symbols that prose seldom has.
-SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Largest Jensen-Shannon distance of characters and of common words, and the words from which the latter counts.
 MAX_CHARS, MAX_WORDS, MIN_WORDS_FOR_COMMON = 0.28, 0.27, 100
 
 
-def _repeated_words(w: str):
-    """SQL for the starts of the windows of three words of the array `w` that come twice or more. Windows are sorted by hash and place
-    in one long, the place in as many bits as the text needs; neighbours of one hash go a second round with another
-    hash, so that texts of any length get exact results."""
-    bits = f"CAST(ceil(log2(size({w}) + 1)) AS INT)"
-    mask = f"(shiftleft(1L, {bits}) - 1)"
+def _window_codes(salt: str = "") -> str:
+    """SQL: the windows of three words of `_w` that begin at the places `_p`, each as one long, its hash above and its place in
+    the lowest `_bits` bits, in order."""
+    return f"sort_array(transform(_p, i -> shiftleft(xxhash64({salt}get(_w, i), get(_w, i + 1), get(_w, i + 2)), _bits) | i))"
 
-    def coded(places: str, salt: str) -> str:
-        return f"sort_array(transform({places}, i -> shiftleft(xxhash64({salt}get({w}, i), get({w}, i + 1), get({w}, i + 2)), {bits}) | i))"
 
-    def twins(column: str) -> str:
-        same = " OR ".join(f"coalesce(shiftright(x, {bits}) = shiftright(get({column}, j {d} 1), {bits}), false)" for d in "+-")
-        return f"transform(filter({column}, (x, j) -> {same}), x -> CAST(x & {mask} AS INT))"
-
-    start = f"CASE WHEN size({w}) >= 3 THEN sequence(0, size({w}) - 3) ELSE CAST(array() AS ARRAY<INT>) END"
-    return start, lambda c: coded(c, ""), twins, lambda c: coded(c, "'again', ")
+#: SQL: the places of the windows of `_s` whose hash a neighbour has too.
+_TWINS = """transform(
+    filter(_s, (x, j) -> coalesce(shiftright(x, _bits) = shiftright(get(_s, j + 1), _bits), false)
+                      OR coalesce(shiftright(x, _bits) = shiftright(get(_s, j - 1), _bits), false)),
+    x -> CAST(x & _mask AS INT))"""
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -45,7 +38,6 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.col(id_col).alias("_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
     ).withColumn("_w", words("_text"))
-    start, coded, twins, again = _repeated_words("_w")
     length = F.length("_text")
 
     def of(pattern: str) -> Column:
@@ -57,24 +49,31 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lists = F.lit(every)
     for lang, ws in known.items():
         lists = F.when(F.col("_lang") == lang, F.lit(ws)).otherwise(lists)
+    longest = max(len(w.encode()) for w in every)
+    other = r"[^\p{Ll}\p{Lu}0-9#*$%&|<>.,;:!?'\"()\-\x20\x09-\x0D]+"
+    # windows of three words by hash; those with a twin go a second round with another hash, so that the places, which take
+    # more bits from the hash in longer texts, never make two windows the same
     rows = (
-        rows.withColumn("_s", F.expr(coded(f"({start})"))).withColumn("_p", F.expr(twins("_s")))
-        .withColumn("_s", F.expr(again("_p"))).withColumn("_p", F.sort_array(F.expr(twins("_s"))))
+        rows.withColumn("_bits", F.ceil(F.log2(F.size("_w") + F.lit(1))).cast("int"))
+        .withColumn("_mask", F.expr("shiftleft(1L, _bits) - 1"))
+        .withColumn("_p", F.expr("CASE WHEN size(_w) >= 3 THEN sequence(0, size(_w) - 3) ELSE CAST(array() AS ARRAY<INT>) END"))
+        .withColumn("_s", F.expr(_window_codes())).withColumn("_p", F.expr(_TWINS))
+        .withColumn("_s", F.expr(_window_codes("'again', "))).withColumn("_p", F.sort_array(F.expr(_TWINS)))
         .withColumn("_lines", lines).withColumn("_list", lists)
-        .withColumn("_common", F.filter(words(F.lower("_text")), lambda x: F.array_contains(F.col("_list"), x)))
+        .withColumn("_common", F.filter("_w", lambda x: (F.octet_length(x) <= longest) & F.array_contains(F.col("_list"), F.lower(x))))
+        .withColumn("_common", F.transform("_common", F.lower))
         .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-        .withColumn("_lower", of(r"\p{Ll}+")).withColumn("_upper", of(r"\p{Lu}+")).withColumn("_digit", of("[0-9]+"))
-        .withColumn("n_symbols", (length - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"))
-        .withColumn("_point", of(r"[.,;:!?'\"()\-]+"))
+        .withColumn("_upper", of(r"\p{Lu}+")).withColumn("_digit", of("[0-9]+")).withColumn("_other", of(other))
+        .withColumn("n_symbols", of(r"[#*$%&|<>]+").cast("long")).withColumn("_point", of(r"[.,;:!?'\"()\-]+"))
     )
     spaces = length - F.col("word_chars")
-    known_chars = F.col("_lower") + F.col("_upper") + F.col("_digit") + F.col("n_symbols") + F.col("_point")
+    lower = F.col("word_chars") - F.col("_upper") - F.col("_digit") - F.col("n_symbols") - F.col("_point") - F.col("_other")
     repeats = F.expr("aggregate(transform(_p, (x, j) -> least(3, coalesce(get(_p, j + 1) - x, 3))), 0L, (a, x) -> a + x)")
     return rows.select(
         "_id", "_lang", F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), repeats.alias("n_repeat_words"),
         F.transform(
-            F.array("_lower", "_upper", "_digit", "n_symbols", "_point", spaces, F.col("word_chars") - known_chars), lambda x: x.cast("double")
+            F.array(lower, "_upper", "_digit", "n_symbols", "_point", spaces, "_other"), lambda x: x.cast("double")
         ).alias("chars"),
         F.concat(
             F.transform("_list", lambda x: (F.size("_common") - F.size(F.array_remove("_common", x))).cast("double")),
