@@ -15,46 +15,84 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablematch.llm.common import slices
 from tablematch.plans.skew import durable
 
 CAPACITY = 2048
-_KNOWN, _LONG = 400_000, 64
+_KNOWN, _LONG, _AT_ONCE = 1_000_000, 64, 5000
 #: Pieces of one length that are ranked in one task.
 SLICE = 1_000_000
 
 
 class Encoder:
-    """Token ids of texts by a byte-level BPE file, which encodes the parts between single spaces independently; parts
-    seen before are looked up."""
+    """Token ids of texts by a byte-level BPE file. Texts are cut before spaces and line feeds that stand alone, where a part
+    encodes as it does in the text; parts seen before are looked up."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole, self.word = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = self.word.encode_special_tokens = True
+        # for parts that the pattern of the file leaves in one piece
+        self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
-        if re.search(r"\s (?:\s|\Z)", text):  # spaces between spaces belong to longer runs
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[f" {x}" for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        split = [self.parts(t) for t in texts]
-        if len(self.known) > _KNOWN:
-            self.known = {}
-        new = list({p for parts in split for p in parts if p not in self.known})
-        coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        here = {p: np.array(c.ids, "<u4").tobytes() for p, c in zip(new, coded)}
-        self.known.update((p, b) for p, b in here.items() if len(p) <= _LONG)
-        found = self.known if all(len(p) <= _LONG for p in new) else {**self.known, **here}
-        return [b"".join(map(found.__getitem__, parts)) for parts in split]
+    def split(self, text: str) -> tuple[str, str]:
+        """The first part, and the others, each after a space; a part that begins with a line feed has no space of its own."""
+        if not re.search(r"\s\s|\s\Z", text):
+            text = text.replace("\n", " \n")
+        elif re.search(r"\s (?:\s|\Z)| \n", text):  # a space inside a longer run of spaces, or before a line feed
+            return text, ""
+        first, space, rest = text.partition(" ")
+        return first, space + rest
+
+    def look_up(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part as little-endian unsigned 32-bit numbers."""
+        new = [p for p in parts if p not in self.known]
+        cut = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}
+        here = dict(_encoded(self.word, list({x for pair in cut.values() for x in pair if x and x not in self.known})))
+        at = [self.known, here]
+        full = {p: b"".join(at[x not in self.known][x] for x in pair if x) for p, pair in cut.items()}
+        full.update(_encoded(self.whole, [p for p in new if p not in cut]))
+        out = [self.known[p] if p in self.known else full[p] for p in parts]
+        if len(self.known) < _KNOWN:  # what came first is what comes often
+            self.known.update((p, ids) for found in (here, full) for p, ids in found.items() if len(p) <= _LONG)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        cut = [self.split(t) for t in texts]
+        lists = pc.split_pattern(pa.array([rest[1:] if rest else None for _, rest in cut], pa.large_string()), " ")
+        flat = lists.flatten().dictionary_encode()
+        parts = [p if p[:1] == "\n" else f" {p}" for p in flat.dictionary.to_pylist()]
+        ids = self.look_up([*parts, *[first for first, _ in cut]])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins, pool = np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(ids), "<u4")
+        # each text: its first part, then the others
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        n = len(texts)
+        order = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, ends[:-1]][:n], len(parts) + np.arange(n))
+        counts = sizes[order]
+        stops = np.cumsum(counts)
+        got = pool[np.repeat(begins[order] - (stops - counts), counts) + np.arange(stops[-1] if n else 0)]
+        return np.split(got, stops[ends + np.arange(n)][:-1]) if n else []
+
+
+#: Parts of two pieces of the file's pattern: letters, perhaps after a space, and marks.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def _encoded(tokenizer, parts: list[str]):
+    for i in range(0, len(parts), _AT_ONCE):
+        some = parts[i:i + _AT_ONCE]
+        coded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(coded.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
+        yield from ((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -72,7 +110,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
         for batch in slices(batches, "_text", 2 << 20):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, coded in enumerate(encoder(path).encode(batch["_text"].to_pylist())):
-                coded += end
+                coded = coded.tobytes() + end
                 n = len(coded) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
