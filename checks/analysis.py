@@ -38,7 +38,7 @@ def _profile_sql(table: str, cols: dict[str, int]) -> str:
         return (
             f"SELECT '{c}' AS column_name, count(*) AS total_rows, count({c}) AS non_null_count, count(DISTINCT {c}) AS unique_count, "
             f"round(count(DISTINCT {c}) / count({c}), 4) AS uniqueness_ratio, count({c}) - count(DISTINCT {c}) AS duplicate_count, "
-            f"min({num}) AS min_val, max({num}) AS max_val, round(avg({num}), 2) AS mean_val, quantile_disc({num}, 0.5) AS median_val, "
+            f"min({num}) AS min_val, max({num}) AS max_val, round(avg({num}), 2) AS mean_val, quantile_cont({num}, 0.5) AS median_val, "
             f"round(stddev_samp({num}), 2) AS std_val, " + ("0.0" if numeric else f"round(avg(length({c})), 2)") + f" AS avg_str_length FROM {table}"
         )
 
@@ -146,13 +146,13 @@ def j11(spark, sf_dir):
 
 
 @query("J11_value_overlap", f"""WITH {fx.SQL_ORDERS}, {fx.SQL_B1_SOURCE}, {fx.sql_b1_target()},
-  s AS (SELECT * FROM b1s ORDER BY rid LIMIT 500), t AS (SELECT * FROM b1t ORDER BY rid LIMIT 500),
+  s AS (SELECT * FROM b1s), t AS (SELECT * FROM b1t),
   sv AS (SELECT DISTINCT 'order_no' AS c, order_no AS v FROM s UNION SELECT 'cust', cust FROM s UNION SELECT 'd', d FROM s UNION SELECT 'status', status FROM s UNION SELECT 'amount', amount FROM s),
   tv AS (SELECT DISTINCT 'order_no' AS c, order_no AS v FROM t UNION SELECT 'cust', cust FROM t UNION SELECT 'd', d FROM t UNION SELECT 'status', status FROM t UNION SELECT 'amount', amount FROM t)
   SELECT x.c AS source_column, y.c AS target_column, round(count(*) / ((SELECT count(*) FROM sv WHERE c = x.c) + (SELECT count(*) FROM tv WHERE c = y.c) - count(*)), 6) AS overlap
   FROM sv x JOIN tv y ON x.v = y.v GROUP BY x.c, y.c""")
 def j11_overlap(spark, sf_dir):
-    """U-4: Jaccard of the leading values."""
+    """U-4: Jaccard of all values."""
     o = sm.value_overlap(fx.b1_source(spark, sf_dir), fx.b1_target(spark, sf_dir))
     return o.select("source_column", "target_column", F.round("overlap", 6).alias("overlap"))
 
@@ -203,7 +203,7 @@ def j9(spark, sf_dir):
     return pairs.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), F.round("score", 6).alias("score"))
 
 
-@query("J10_pairs", B4 + "SELECT l, r, score FROM c QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1 AND row_number() OVER (PARTITION BY r ORDER BY score DESC, l) = 1")
+@query("J10_pairs", B4 + "SELECT l, r, score FROM c QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, ('0x' || substr(md5(l || ':' || r), 1, 15))::BIGINT DESC, r DESC) = 1 AND row_number() OVER (PARTITION BY r ORDER BY score DESC, ('0x' || substr(md5(l || ':' || r), 1, 15))::BIGINT DESC, l DESC) = 1")
 def j10(spark, sf_dir):
     pairs = match_texts(*b4_leftovers(spark, sf_dir))
     return pairs.select(F.col("left_rid").alias("l"), F.col("right_rid").alias("r"), F.round("score", 6).alias("score"))

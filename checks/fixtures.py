@@ -225,19 +225,19 @@ t0 AS (SELECT order_no, line, CASE WHEN r % 13 = 0 THEN CAST(CAST(q + 1 AS DECIM
          CASE WHEN r % 11 = 0 THEN '$' || CAST(p AS VARCHAR) || '0' ELSE CAST(p AS VARCHAR) END AS price, flag, ship_date,
          {_FAR} - r * 2 AS rid FROM l WHERE r % 17 <> 0
        UNION ALL SELECT order_no, line, CAST(q AS VARCHAR), '0.00', flag, ship_date, {_FAR} - r * 2 + 1 FROM l WHERE r % 19 = 0),
-s1 AS (SELECT *, {_canon_print} AS fp FROM s0), t1 AS (SELECT *, {_canon_print} AS fp FROM t0),
+s1 AS MATERIALIZED (SELECT *, {_canon_print} AS fp FROM s0), t1 AS MATERIALIZED (SELECT *, {_canon_print} AS fp FROM t0),
 s2 AS (SELECT *, row_number() OVER (PARTITION BY order_no, fp ORDER BY rid) AS n FROM s1),
 t2 AS (SELECT *, row_number() OVER (PARTITION BY order_no, fp ORDER BY rid) AS n FROM t1),
-exact AS (SELECT s.rid AS sr, t.rid AS tr FROM s2 s JOIN t2 t ON s.order_no = t.order_no AND s.fp = t.fp AND s.n = t.n),
-s3 AS (SELECT *, row_number() OVER (PARTITION BY order_no ORDER BY rid) AS m FROM s1 WHERE rid NOT IN (SELECT sr FROM exact)),
-t3 AS (SELECT *, row_number() OVER (PARTITION BY order_no ORDER BY rid) AS m FROM t1 WHERE rid NOT IN (SELECT tr FROM exact)),
-links AS (SELECT * FROM exact UNION ALL SELECT s3.rid, t3.rid FROM s3 FULL JOIN t3 ON s3.order_no = t3.order_no AND s3.m = t3.m),
-pairs AS (SELECT s.order_no, s.rid AS s_rid, t.rid AS t_rid, {_pair_cols} FROM links x JOIN s1 s ON x.sr = s.rid JOIN t1 t ON x.tr = t.rid),
+exact AS MATERIALIZED (SELECT s.rid AS sr, t.rid AS tr FROM s2 s JOIN t2 t ON s.order_no = t.order_no AND s.fp = t.fp AND s.n = t.n),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY order_no ORDER BY rid) AS m FROM s1 ANTI JOIN exact ON rid = sr),
+t3 AS (SELECT *, row_number() OVER (PARTITION BY order_no ORDER BY rid) AS m FROM t1 ANTI JOIN exact ON rid = tr),
+links AS MATERIALIZED (SELECT * FROM exact UNION ALL SELECT s3.rid, t3.rid FROM s3 FULL JOIN t3 ON s3.order_no = t3.order_no AND s3.m = t3.m),
+pairs AS MATERIALIZED (SELECT s.order_no, s.rid AS s_rid, t.rid AS t_rid, {_pair_cols} FROM links x JOIN s1 s ON x.sr = s.rid JOIN t1 t ON x.tr = t.rid),
 cells AS ({sql_cells('pairs', 's_rid', _LINE_COLS)}),
 kinds AS (SELECT s_rid, count(*) FILTER (kind = 'value') AS nv, count(*) FILTER (kind = 'format') AS nf FROM cells GROUP BY 1),
 rows AS (
   SELECT order_no, p.s_rid, t_rid, CASE WHEN nv > 0 THEN 'Updated' WHEN nf > 0 THEN 'Format Only' ELSE 'Matched' END AS status,
          coalesce(nv, 0) + coalesce(nf, 0) AS changed FROM pairs p LEFT JOIN kinds k ON p.s_rid = k.s_rid
-  UNION ALL SELECT order_no, rid, NULL, 'Deleted', 0 FROM s1 WHERE rid IN (SELECT sr FROM links WHERE tr IS NULL)
-  UNION ALL SELECT order_no, NULL, rid, 'Added', 0 FROM t1 WHERE rid IN (SELECT tr FROM links WHERE sr IS NULL))
+  UNION ALL SELECT order_no, rid, NULL, 'Deleted', 0 FROM s1 SEMI JOIN (SELECT sr FROM links WHERE tr IS NULL) ON rid = sr
+  UNION ALL SELECT order_no, NULL, rid, 'Added', 0 FROM t1 SEMI JOIN (SELECT tr FROM links WHERE sr IS NULL) ON rid = tr)
 """

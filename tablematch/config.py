@@ -23,12 +23,10 @@ class Settings:
     date_parse_ratio: float = 0.8
     unnamed_fill_ratio: float = 0.1
     # validators
-    validator_sample: int = 200
     validator_min_samples: int = 3
     validator_threshold: float = 0.7
     id_uniqueness: float = 0.9
     id_charset: float = 0.9
-    overlap_sample: int = 500
     # paging
     page_sizes: tuple = (25, 50, 100, 250)
     page_size: int = 50

@@ -5,9 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablematch.config import NULL_WORDS
 
@@ -57,10 +55,10 @@ def name_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def name_ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    """`name_ratio` over pairs of column names; never used on cell data."""
-    return pd.Series([name_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+def name_ratios(spark: SparkSession, left: list[str], right: list[str]) -> DataFrame:
+    """(left_name, right_name, ratio) for the column names of two tables; as small as their schemas."""
+    rows = [(a, b, name_ratio(spaced_name(a), spaced_name(b))) for a in left for b in right]
+    return spark.createDataFrame(rows, "left_name string, right_name string, ratio double")
 
 
 def contained_boost(ratio: float, a: str, b: str, floor: float, min_length: int = 1) -> float:

@@ -1,4 +1,4 @@
-"""Datatype validators over a sample of a column: each returns the share of values that fit."""
+"""Datatype validators over a column: each returns the share of values that fit."""
 
 from __future__ import annotations
 

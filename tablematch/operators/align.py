@@ -13,7 +13,6 @@ from tablematch.functions.text import contained_boost, flat_name, loose_name, na
 from tablematch.functions.validate import validator_scores
 from tablematch.functions.values import clean_amount, parse_date
 from tablematch.operators.clean import data_columns, drop_empty_columns, drop_empty_rows
-from tablematch.plans.skew import top_per_group
 from tablematch.vocabulary import words_of
 
 
@@ -161,16 +160,14 @@ class Mapped:
     candidates: list[str] = field(default_factory=list)
 
 
-def sampled_scores(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> dict[str, dict[str, float]]:
-    """Validator scores per column over its first non-blank values in row order. The per-column limit is applied
-    before the shuffle; one row per column comes back."""
+def column_scores(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> dict[str, dict[str, float]]:
+    """Validator scores per column over all its non-blank values; one row per column comes back."""
     if not columns:
         return {}
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns])
-    long = df.select("_rid", F.inline(cells)).where("v <> ''")
-    sample = top_per_group(long, ["column_name"], [F.col("_rid")], settings.validator_sample)
+    long = df.select(F.inline(cells)).where("v <> ''")
     scores = validator_scores(F.col("v"), settings)
-    rows = sample.groupBy("column_name").agg(*[v.alias(k) for k, v in scores.items()]).collect()
+    rows = long.groupBy("column_name").agg(*[v.alias(k) for k, v in scores.items()]).collect()
     return {r["column_name"]: {k: float(r[k]) for k in scores} for r in rows}
 
 
@@ -182,7 +179,7 @@ def map_columns(
     method: str = "exact",
     settings: Settings = DEFAULTS,
 ) -> list[Mapped]:
-    """Resolve canonical fields: override, header word, canonical name, then (exact) the only column whose sampled
+    """Resolve canonical fields: override, header word, canonical name, then (exact) the only column whose
     values fit the field's datatype or (fuzzy) the most similar header. A column is claimed once."""
     by_name: dict[str, str] = {}
     for c in columns:
@@ -207,7 +204,7 @@ def map_columns(
             kind = FIELD_VALIDATORS.get(name)
             if kind and df is not None:
                 if scores is None:
-                    scores = sampled_scores(df, [c for c in columns if c in df.columns], settings)
+                    scores = column_scores(df, [c for c in columns if c in df.columns], settings)
                 fits = [c for c in columns if c not in used and scores.get(c, {}).get(kind, 0.0) >= settings.validator_threshold]
                 if len(fits) == 1:
                     found = Mapped(name, fits[0], "datatype_validation", "MAPPED", round(scores[fits[0]][kind], 2), fits)

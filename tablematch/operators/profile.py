@@ -20,7 +20,7 @@ from tablematch.operators.clean import data_columns
 from tablematch.plans.skew import top_per_group
 from tablematch.vocabulary import words_of
 
-HEAD = 100
+SAMPLES = 5
 
 
 def _is_number(t: T.DataType) -> bool:
@@ -50,6 +50,12 @@ def distinct_counts(long: DataFrame) -> DataFrame:
     return long.select("column_name", "value").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
+def medians(long: DataFrame) -> DataFrame:
+    """Exact median per numeric column, interpolated, from distinct values and how often they come."""
+    counted = long.where("num IS NOT NULL").groupBy("column_name", "num").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("column_name").agg(F.percentile("num", 0.5, F.col("n")).alias("median_val"))
+
+
 def head_values(long: DataFrame, n: int) -> DataFrame:
     """First `n` non-null values per column in row order; limited before the shuffle."""
     return top_per_group(long, ["column_name"], [F.col("_rid")], n)
@@ -61,28 +67,27 @@ def profile(df: DataFrame, exact: bool = True, settings: Settings = DEFAULTS) ->
     types = {f.name: f.dataType for f in df.schema}
     long = long_form(df)
     trimmed = F.trim(F.col("value"))
-    unique = [] if exact else [F.approx_count_distinct("value").alias("unique_count")]
+    median = F.percentile_approx("num", 0.5, settings.median_accuracy).alias("median_val")
+    unique = [] if exact else [F.approx_count_distinct("value").alias("unique_count"), median]
     stats = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("non_null_count"),
         F.min("num").alias("min_val"),
         F.max("num").alias("max_val"),
         F.avg("num").alias("mean_val"),
-        F.percentile_approx("num", 0.5, settings.median_accuracy).alias("median_val"),
         F.coalesce(F.stddev_samp("num"), F.when(F.count("num") > 0, F.lit(0.0))).alias("std_val"),
         F.round(F.avg(F.length("value")), 2).alias("mean_length"),
         F.min(F.lower(trimmed).isin(*BOOLEAN_WORDS)).alias("boolean_like"),
         share(is_email(trimmed)).alias("email_share"),
         share(is_phone(trimmed)).alias("phone_share"),
         share(is_identifier(trimmed)).alias("id_share"),
+        share(is_date(trimmed)).alias("date_share"),
+        F.max(F.col("value").contains(":")).alias("timed"),
         *unique,
     )
     if exact:
-        stats = stats.join(distinct_counts(long), "column_name", "left")
-    heads = head_values(long.select("column_name", "value", "_rid"), HEAD)
-    heads = heads.groupBy("column_name").agg(
-        share(is_date(trimmed)).alias("date_share"),
-        F.sort_array(F.collect_list(F.struct("_rid", "value"))).alias("head"),
-    )
+        stats = stats.join(distinct_counts(long), "column_name", "left").join(medians(long), "column_name", "left")
+    heads = head_values(long.select("column_name", "value", "_rid"), SAMPLES)
+    heads = heads.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("_rid", "value"))).alias("head"))
     frame = df.sparkSession.createDataFrame(
         [
             (i, c, spaced_name(c), types[c].simpleString(), _is_number(types[c]), _is_integer(types[c]), isinstance(types[c], T.StringType))
@@ -105,8 +110,7 @@ def profile(df: DataFrame, exact: bool = True, settings: Settings = DEFAULTS) ->
         .withColumn("uniqueness_ratio", F.coalesce(unique_ratio, F.lit(0.0)))
         .withColumn("duplicate_count", F.col("non_null_count") - F.col("unique_count"))
         .withColumn("avg_str_length", F.when(F.col("numeric"), 0.0).otherwise(F.coalesce("mean_length", F.lit(0.0))))
-        .withColumn("sample_values", F.transform(F.slice("head", 1, 5), lambda x: x["value"]))
-        .withColumn("timed", F.exists(F.slice("head", 1, 10), lambda x: x["value"].contains(":")))
+        .withColumn("sample_values", F.transform("head", lambda x: x["value"]))
     )
     return out.withColumn("inferred_logical_type", logical_type()).drop(
         "mean_length", "head", "boolean_like", "email_share", "phone_share", "id_share", "date_share", "timed",

@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablematch.config import DEFAULTS, Settings
-from tablematch.functions.text import confidence_band, name_ratio_udf, token_overlap
-from tablematch.operators.profile import head_values, key_candidates, long_form, profile
+from tablematch.functions.text import confidence_band, name_ratios, token_overlap
+from tablematch.operators.clean import data_columns
+from tablematch.operators.profile import key_candidates, long_form, profile
 from tablematch.plans.assign import assign_columns
 
 
-def leading_values(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Distinct trimmed values among the first non-null ones of each column."""
-    return (
-        head_values(long_form(df).select("column_name", "value", "_rid"), settings.overlap_sample)
-        .select("column_name", F.trim("value").alias("value")).distinct()
-    )
+def column_values(df: DataFrame) -> DataFrame:
+    """Distinct trimmed values of each column."""
+    return long_form(df).select("column_name", F.trim("value").alias("value")).distinct()
 
 
-def value_overlap(source: DataFrame, target: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Shared over all values of every column pair that shares any; the value sets are leading samples."""
-    s, t = leading_values(source, settings), leading_values(target, settings)
+def value_overlap(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Shared over all values of every column pair that shares any."""
+    s, t = column_values(source), column_values(target)
     n_s = s.groupBy(F.col("column_name").alias("source_column")).agg(F.count("*").alias("n_s"))
     n_t = t.groupBy(F.col("column_name").alias("target_column")).agg(F.count("*").alias("n_t"))
     shared = (
@@ -52,11 +50,12 @@ def column_signals(
             F.col("null_percentage").alias(f"{p}_null"),
         )
 
-    overlap = value_overlap(source, target, settings).select(
+    overlap = value_overlap(source, target).select(
         F.col("source_column").alias("s_column"), F.col("target_column").alias("t_column"), "overlap"
     )
+    ratios = name_ratios(source.sparkSession, data_columns(source), data_columns(target)).toDF("s_column", "t_column", "ratio")
     pairs = side(source, "s").join(side(target, "t"), "pair_id").join(overlap, ["s_column", "t_column"], "left")
-    ratio = name_ratio_udf("s_name", "t_name")
+    pairs = pairs.join(ratios, ["s_column", "t_column"])
     contained = (F.length("s_name") > 0) & (F.length("t_name") > 0) & (
         F.col("t_name").contains(F.col("s_name")) | F.col("s_name").contains(F.col("t_name"))
     )
@@ -74,7 +73,7 @@ def column_signals(
         "uniqueness_compatibility": F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("s_unique") - F.col("t_unique"))),
         "null_compatibility": F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("s_null") - F.col("t_null")) / 100.0),
     }
-    scored = pairs.withColumn("ratio", ratio).select(
+    scored = pairs.select(
         "pair_id", F.col("s_pos").alias("source_pos"), F.col("t_pos").alias("target_pos"),
         F.col("s_column").alias("source_column"), F.col("t_column").alias("target_column"),
         *[F.round(v, 4).alias(k) for k, v in signals.items()],

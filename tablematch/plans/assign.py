@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablematch.config import DEFAULTS, Settings
 from tablematch.plans.similarity import text_similarities
@@ -13,19 +13,26 @@ from tablematch.plans.skew import durable, find_hot, ranked
 _BLOCK = 1024
 
 
+def tie_break(left: str, right: str) -> Column:
+    """Hash of a pair, the first 60 bits of the MD5 of `left:right`; the larger goes first."""
+    pair = F.concat_ws(":", F.col(left).cast("string"), F.col(right).cast("string"))
+    return F.conv(F.substring(F.md5(pair), 1, 15), 16, 10).cast("long")
+
+
 def best_first(edges: DataFrame) -> DataFrame:
     """Best-first assignment over edges (l_id, r_id, l_n, r_n, score), the nodes having capacities l_n and r_n.
 
-    Under the strict order (score desc, l_id, r_id), best-first equals taking, again and again, every edge that is
-    the best of both its ends. Best edges are found by aggregates, which combine before the shuffle, so a node with
+    Edges are ordered by score, then by a hash of the pair (see `tie_break`), so that equal scores do not queue up behind
+    one node. Under a strict order best-first equals taking, again and again, every edge that is the best of both its
+    ends; with ties in random order that takes few rounds, whatever the number of equal scores. Best edges are found by aggregates, which combine before the shuffle, so a node with
     very many edges is no problem. Each round ends in a written table. Returns segments
     (l_id, r_id, score, l_from, r_from, m): m members of both nodes, counted from the given positions.
     """
-    left = durable(edges.select("l_id", "r_id", "score", "l_n", "r_n", F.lit(0).cast("long").alias("l_from"), F.lit(0).cast("long").alias("r_from")))
+    left = durable(edges.select("l_id", "r_id", "score", tie_break("l_id", "r_id").alias("tie"), "l_n", "r_n", F.lit(0).cast("long").alias("l_from"), F.lit(0).cast("long").alias("r_from")))
     taken = []
     while not left.isEmpty():
-        by_left = left.groupBy("l_id").agg(F.max(F.struct("score", -F.col("r_id"))).alias("b")).select("l_id", (-F.col("b.col2")).alias("r_id"))
-        by_right = left.groupBy("r_id").agg(F.max(F.struct("score", -F.col("l_id"))).alias("b")).select((-F.col("b.col2")).alias("l_id"), "r_id")
+        by_left = left.groupBy("l_id").agg(F.max(F.struct("score", "tie", "r_id")).alias("b")).select("l_id", "b.r_id")
+        by_right = left.groupBy("r_id").agg(F.max(F.struct("score", "tie", "l_id")).alias("b")).select("b.l_id", "r_id")
         mutual = by_left.join(by_right, ["l_id", "r_id"])
         chosen = durable(
             left.join(mutual, ["l_id", "r_id"]).withColumn("m", F.least("l_n", "r_n"))
@@ -38,7 +45,7 @@ def best_first(edges: DataFrame) -> DataFrame:
         left = durable(
             left.join(used_l, "l_id", "left").join(used_r, "r_id", "left")
             .select(
-                "l_id", "r_id", "score", (F.col("l_n") - l_m).alias("l_n"), (F.col("r_n") - r_m).alias("r_n"),
+                "l_id", "r_id", "score", "tie", (F.col("l_n") - l_m).alias("l_n"), (F.col("r_n") - r_m).alias("r_n"),
                 (F.col("l_from") + l_m).alias("l_from"), (F.col("r_from") + r_m).alias("r_from"),
             )
             .where("l_n > 0 and r_n > 0")

@@ -9,8 +9,9 @@ from tablematch.plans.skew import durable
 _LOW_33_BITS = (1 << 33) - 1
 
 
-def with_ordinal(scan: DataFrame, out: str = "_rid") -> DataFrame:
-    """Add the 0-based file-order position of each row to a plain file scan.
+def with_ordinal(scan: DataFrame, out: str = "_rid", numbered: bool = False) -> DataFrame:
+    """Add the 0-based file-order position of each row to a plain file scan. Files come in order of their names;
+    `numbered`: of one write, whose names grow longer as their numbers do.
 
     Splits are packed into tasks by size, so task order is not file order. Rows are counted per (file, split start);
     a running sum over the splits gives each split's offset. Only that small per-split table is ordered globally.
@@ -23,7 +24,8 @@ def with_ordinal(scan: DataFrame, out: str = "_rid") -> DataFrame:
         F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33_BITS)).alias("_inside"),
     )
     splits = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_inside").alias("_low"))
-    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    names_order = [F.length("_file"), "_file"] if numbered else ["_file"]
+    earlier = Window.orderBy(*names_order, "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_start", "_low", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     return tagged.join(offsets, ["_file", "_start"]).select(
         *names, (F.col("_offset") + F.col("_inside") - F.col("_low")).alias(out)
@@ -33,7 +35,7 @@ def with_ordinal(scan: DataFrame, out: str = "_rid") -> DataFrame:
 def with_ordinal_by(df: DataFrame, order: list[str | Column], out: str = "_rid") -> DataFrame:
     """Add the 0-based position of each row in `order`. The sorted table is written once, because two runs of a
     range sort may choose different partition bounds; its file order is the sort order."""
-    return with_ordinal(durable(df.orderBy(*order)), out)
+    return with_ordinal(durable(df.orderBy(*order)), out, numbered=True)
 
 
 def internal_id(prefix: str, rid: str = "_rid") -> Column:

@@ -11,15 +11,25 @@ from tablematch.operators.clean import drop_unnamed
 from tablematch.sources.ordinal import with_ordinal
 
 
-def read_strings(spark: SparkSession, path: str, settings: Settings = DEFAULTS, ordinal: bool = True) -> DataFrame:
+def _delimited(spark: SparkSession, header: bool, multi_line: bool, strict: bool):
+    """Text cells; inside quotes, a doubled quote is a quote and commas are text. `multi_line`: line breaks inside quotes
+    too, at the price that a file is read by one task. `strict`: lines with too few or too many cells end the read with
+    an error, instead of filling up or cutting off."""
+    reader = spark.read.option("header", header).option("inferSchema", False).option("quote", '"').option("escape", '"')
+    return reader.option("multiLine", multi_line).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+
+
+def read_strings(
+    spark: SparkSession, path: str, settings: Settings = DEFAULTS, ordinal: bool = True, multi_line: bool = False, strict: bool = False,
+) -> DataFrame:
     """Delimited file with a header, every column a string; headerless columns with hardly any values are dropped."""
-    scan = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    scan = _delimited(spark, True, multi_line, strict).csv(path)
     return drop_unnamed(with_ordinal(scan) if ordinal else scan, settings)
 
 
-def read_grid(spark: SparkSession, path: str) -> DataFrame:
+def read_grid(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Delimited file as a raw grid of text cells `_c0 … _cn` with row ordinals; the header is found later."""
-    return with_ordinal(spark.read.option("header", False).option("inferSchema", False).csv(path))
+    return with_ordinal(_delimited(spark, False, multi_line, False).csv(path))
 
 
 @dataclass
@@ -41,6 +51,9 @@ class Targets:
     def read(self, spark: SparkSession, name: str | None) -> DataFrame:
         _, entry = self.resolve(name)
         if isinstance(entry, dict):
+            missing = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"} - entry.keys()
+            if missing:
+                raise ValueError(f"a JDBC target is read in parts and needs {', '.join(sorted(missing))}")
             return spark.read.format("jdbc").options(**entry).load()
         if "/" in entry:
             return spark.read.parquet(entry)

@@ -1,6 +1,7 @@
 """Skew-safe ranking, similarity and assignments against brute force."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -98,7 +99,10 @@ def test_similarity_is_exact(spark, seed):
 def greedy(edges, caps_l, caps_r):
     """Plain best-first over nodes with capacities."""
     used_l, used_r, out = collections.Counter(), collections.Counter(), []
-    for l, r, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+    def tie(l, r):
+        return int(hashlib.md5(f"{l}:{r}".encode()).hexdigest()[:15], 16)
+
+    for l, r, s in sorted(edges, key=lambda e: (-e[2], -tie(e[0], e[1]))):
         m = min(caps_l[l] - used_l[l], caps_r[r] - used_r[r])
         if m > 0:
             out.append((l, r, s, used_l[l], used_r[r], m))
@@ -118,6 +122,17 @@ def test_best_first_under_contention(spark, seed):
     assert got == greedy(edges, caps_l, caps_r)
 
 
+def test_equal_scores_take_few_rounds(spark, monkeypatch):
+    from tablematch.plans import assign
+
+    written = []
+    monkeypatch.setattr(assign, "durable", lambda df, kept=assign.durable: written.append(1) or kept(df))
+    left = spark.range(60).select(F.col("id").alias("l_id"), F.lit(1).alias("l_n"), F.lit(0.9).alias("score"))
+    edges = left.crossJoin(spark.range(60).select(F.col("id").alias("r_id"), F.lit(1).alias("r_n")))
+    assert best_first(edges).count() == 60
+    assert len(written) <= 1 + 2 * 12
+
+
 def test_best_first_without_edges(spark):
     assert best_first(spark.createDataFrame([], "l_id long, r_id long, score double, l_n long, r_n long")).count() == 0
 

@@ -122,3 +122,60 @@ def test_stream_restart_continues_the_chain(spark, tmp_path):
         follow(stream, store, "s", str(tmp_path / "cp"), data_type="master", similar=False).awaitTermination()
     got = [(v.version, v.updated, v.deleted) for v in store.versions().orderBy("version").collect()]
     assert got == [(0, None, None), (1, 1, 0), (2, 1, 1)]
+
+
+def test_quoted_cells(spark, tmp_path):
+    from tablematch.sources.readers import read_grid, read_strings
+
+    path = tmp_path / "q.csv"
+    path.write_text('id,note,amount\n1,"He said ""a, b"" ok",5\n2,"two\nlines",6\n3,back\\slash,7\n')
+    want = [(0, "1", 'He said "a, b" ok', "5"), (1, "2", "two\nlines", "6"), (2, "3", "back\\slash", "7")]
+    rows = read_strings(spark, str(path), multi_line=True)
+    assert sorted((r["_rid"], r["id"], r["note"], r["amount"]) for r in rows.collect()) == want
+    grid = read_grid(spark, str(path), multi_line=True).collect()
+    assert sorted((r["_rid"], r["_c0"], r["_c1"], r["_c2"]) for r in grid)[1:] == [(i + 1, *rest) for i, *rest in want]
+
+
+def test_lines_of_another_width_are_reported(spark, tmp_path):
+    import pytest
+    from tablematch.sources.readers import read_strings
+
+    path = tmp_path / "w.csv"
+    path.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_strings(spark, str(path), strict=True).collect()
+
+
+def test_unsplit_jdbc_targets_are_refused(spark):
+    import pytest
+    from tablematch.sources.readers import Targets
+
+    with pytest.raises(ValueError, match="partitionColumn"):
+        Targets({"x": {"url": "jdbc:none", "dbtable": "t"}}, "x").read(spark, "x")
+
+
+def test_all_values_decide(spark):
+    """The first hundred values look like dates, the other thousands do not; two tables in opposite order share all values."""
+    from pyspark.sql import functions as F
+    from tablematch.operators.align import column_scores
+    from tablematch.operators.profile import profile
+    from tablematch.operators.schema_match import value_overlap
+
+    rows = spark.range(5000).select(F.col("id").alias("_rid"), F.when(F.col("id") < 100, "2024-01-05").otherwise(F.concat(F.lit("text "), "id")).alias("c"))
+    assert profile(rows).first()["inferred_logical_type"] not in ("Date", "Datetime")
+    assert column_scores(rows, ["c"])["c"]["date"] < 0.05
+    back = rows.select((F.lit(4999) - F.col("_rid")).alias("_rid"), "c")
+    assert value_overlap(rows, back).first()["overlap"] == 1.0
+    assert profile(spark.createDataFrame([(0, 1.0), (1, 2.0)], "_rid long, x double")).first()["median_val"] == 1.5
+
+
+def test_file_numbers_past_five_digits(spark, tmp_path):
+    from tablematch.sources.ordinal import with_ordinal
+
+    for n, name in enumerate(("part-99999-a.snappy.parquet", "part-100000-a.snappy.parquet")):
+        spark.createDataFrame([(n,)], "n int").coalesce(1).write.parquet(str(tmp_path / str(n)))
+        found = next((tmp_path / str(n)).glob("part-*.parquet"))
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(found.read_bytes())
+    rows = with_ordinal(spark.read.parquet(str(tmp_path / "t")), numbered=True).collect()
+    assert all(r["n"] == r["_rid"] for r in rows)
