@@ -22,7 +22,7 @@ from tablematch.llm.common import slices
 from tablematch.plans.skew import durable
 
 CAPACITY = 2048
-_KNOWN, _LONG, _AT_ONCE = 1_000_000, 64, 5000
+_KNOWN, _LONG, _AT_ONCE = 400_000, 64, 5000
 #: Pieces of one length that are ranked in one task.
 SLICE = 1_000_000
 
