@@ -79,7 +79,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     No edges: no rows."""
     links = durable(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     state = _state(links)
-    while True:
+    while state[0]:
         both = links.union(links.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         stars = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
