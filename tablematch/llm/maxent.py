@@ -20,7 +20,7 @@ from tablematch.plans.skew import durable, release
 
 #: Classes of single words (the end of a text is the first), classes by ending, and rows of the weight table.
 OWN, ENDINGS, ROWS = 32, 32, 1 << 15
-#: Words whose counts every executor holds, and of them those that are told apart in the text before.
+#: The most words whose counts every executor holds, and of them those that are told apart in the text before.
 FREQUENT, CONTEXT, ENDING_BITS = 65_536, 4096, 10
 #: One token in so many trains; rounds of updates; tasks of a round; step and batch of an update.
 EVERY, ROUNDS, TASKS, STEP, BATCH = 8, 3, 128, 0.15, 1024
@@ -127,8 +127,17 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def collected(counts: DataFrame) -> Counts:
     """The tables of fixed size that every executor holds."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where(F.col("word") != int(_END.view(np.int64))).orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
-    by_ending = counts.where(F.col("word") != int(_END.view(np.int64))).groupBy((F.col("ending") % ENDINGS).alias("k")).agg(
+    words_only = counts.where(F.col("word") != int(_END.view(np.int64))).withColumn("level", F.floor(F.log2("c") * 8))
+    # the counts from which words are frequent: a limit would send as many rows from every partition
+    least, n_top = 1 << 30, 0
+    for r in sorted(words_only.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
+        n_top += r.n
+        if n_top > FREQUENT:
+            break
+        least = r.level
+    top = words_only.where(F.col("level") >= least).select("word", "ending", "c").toPandas()
+    top = top.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+    by_ending = words_only.groupBy((F.col("ending") % ENDINGS).alias("k")).agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")
     ).collect()
     words, own = top["word"].to_numpy(np.int64).view(np.uint64), top.iloc[:OWN - 1]

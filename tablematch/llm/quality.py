@@ -77,8 +77,8 @@ def fit(
 ) -> tuple[QualityModel, DataFrame]:
     """The model for `docs`, and (_id, _weight, _noisy) of all of them.
 
-    Good texts are labelled `quality_col` 1 and not `avoid_col` 1. At most `sample` labelled documents, chosen by a hash of
-    their ids, are used: of the good ones half fit the model, the other half set the weight that all but a share `lost` of
+    Good texts are labelled `quality_col` 1 and not `avoid_col` 1. Of more than `sample` labelled documents a hash of
+    the ids chooses about 0.95 `sample`: of the good ones half fit the model, the other half set the weight that all but a share `lost` of
     good texts reach. A bucket's ratio is (n + prior) / (expected n + prior), n the count in good texts and the expected one
     that of the corpus scaled to their length, so that a rare bucket says nothing. Without good texts all ratios are 1."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -86,7 +86,9 @@ def fit(
     known = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).select(
         F.col(id_col).alias("_label"), ((F.col(quality_col) == 1) & ~avoid).alias("_good"), F.xxhash64(F.lit(seed), id_col).alias("_hash")
     )
-    chosen = known.groupBy("_label").agg(F.min("_good").alias("_good"), F.min("_hash").alias("_hash")).orderBy("_hash", "_label").limit(sample)
+    known = durable(known.groupBy("_label").agg(F.min("_good").alias("_good"), F.min("_hash").alias("_hash")))
+    some = min(1.0, 0.95 * sample / max(1, known.count()))  # a share of all hashes; a limit would send as many rows from every task
+    chosen = known.where(F.pmod(F.xxhash64("_hash"), F.lit(1 << 20)) < F.lit(int(some * (1 << 20))))
     chosen = durable(chosen.where("_good").select("_label", (F.col("_hash") % 2 == 0).alias("_fits")))
     tagged = rows.join(F.broadcast(chosen), rows["_id"] == chosen["_label"], "left")  # `sample` rows at most
 
@@ -114,7 +116,7 @@ def fit(
         return model, scores
     order = with_ordinal_by(scores.where("_weight IS NOT NULL").select("_noisy"), [F.desc("_noisy")], "_place")
     cut = order.where(F.col("_place") == k - 1).first()["_noisy"]
-    release(chosen)
+    release(chosen, known)
     return QualityModel(model.ratios, seed, cut), scores
 
 
