@@ -24,24 +24,26 @@ def _place(line: str) -> Column:
 
 
 def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Places whose `by` another place has too, with their name. Combined before the shuffle; one row per group is joined
-    back, so that a very frequent group can be split."""
-    names = rows.groupBy(*by).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(names, by).select("_id", "_h", "line", "place", F.col("first").alias("name"))
+    """Places whose `by` another place has too, with their name. Combined before the shuffle; the names are a table of one
+    row per group, so that the join back can split a very frequent group."""
+    names = durable(rows.groupBy(*by).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    named = durable(rows.join(names, by).select("_id", "_h", "line", "place", F.col("first").alias("name")))
+    release(names)
+    return named
 
 
 def repeated_places(docs: DataFrame, min_lines: int) -> DataFrame:
     """(_id, _h, line): places that begin a later copy of `min_lines` lines in `docs` (see `keyed`)."""
     ids = F.transform(F.split("_text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     lines = docs.select("_id", "_h", F.posexplode(ids).alias("line", "x")).select("_id", "_h", "line", "x.a", "x.b")
-    places = durable(_named(lines.withColumn("place", _place("line")), ["a", "b"]))
+    places = _named(lines.withColumn("place", _place("line")), ["a", "b"])
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
         ahead = Window.partitionBy("_id", "_h").orderBy("line").rangeBetween(step, step)
-        pairs = places.withColumn("next", F.min("name").over(ahead)).where("next IS NOT NULL")
-        after = durable(_named(pairs, ["name", "next"]))
-        release(places)
+        pairs = durable(places.withColumn("next", F.min("name").over(ahead)).where("next IS NOT NULL"))
+        after = _named(pairs, ["name", "next"])
+        release(places, pairs)
         places, depth = after, depth + step
     return places.where("name < place").select("_id", "_h", "line")
 
