@@ -83,7 +83,7 @@ def _without(rows: DataFrame, min_lines: int) -> DataFrame:
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(min_lines - 1))))
     rest = [c for c in rows.columns if c not in ("_id", "_h", "_text")]
     return (
-        rows.join(starts, same_key(rows, starts), "left")
+        rows.join(starts.hint("merge"), same_key(rows, starts), "left")  # grows with the documents: one plan at every size
         .select(rows["_id"], *rest, F.split("_text", "\n").alias("lines"), F.sort_array(F.array_distinct(covered)).alias("gone"))
         .withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
         .withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
