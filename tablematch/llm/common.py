@@ -75,19 +75,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large stars and small stars in turn: each node hangs its larger neighbours, then its smaller ones, on its smallest
     neighbour, until nothing changes; that takes a number of rounds logarithmic in the longest path. Only minima are
-    aggregated, so a node with very many links costs one row per task; every round is written to the work folder.
-    No edges: no rows."""
+    aggregated, so a node with very many links costs one row per task, and they are tables of one row per node, so that the
+    joins can split such a node's links; every round is written to the work folder. No edges: no rows."""
     links = durable(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     state = _state(links)
     while state[0]:
         both = links.union(links.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        stars = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        stars = durable(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct())
         down = stars.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        lower = down.groupBy("a").agg(F.min("b").alias("m"))
+        lower = durable(down.groupBy("a").agg(F.min("b").alias("m")))
         hung = down.join(lower, "a").select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a"))
         after = durable(hung.select("a", "b").where("a < b").distinct())
-        release(links)
+        release(links, least, stars, lower)
         links, last, state = after, state, _state(after)
         if state == last:
             break

@@ -128,9 +128,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     # which runs have company
     all_runs = docs.mapInArrow(runs, runs_type)
-    grams = all_runs.groupBy("gram").agg(F.sum("weight").alias("leaves")).where("leaves > 1").select("gram")
+    # a table of one row per group, so that the join can split a group with very many runs
+    grams = durable(all_runs.groupBy("gram").agg(F.sum("weight").alias("leaves")).where("leaves > 1").select("gram"))
     shared = all_runs.join(grams, "gram", "left_semi")
     wanted = durable(shared.groupBy("_id", "_h").agg(F.collect_set(F.struct("first", "n", "gram")).alias("runs")))
+    release(grams)
 
     def stretches(batches):
         for batch in slices(batches, "_text", 1 << 20):
@@ -204,7 +206,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     if not large.isEmpty():
         nodes = leaves.join(large, "gram", "left_semi").mapInArrow(windows, "gram long, leaf long, weight int, at int, a long, b long")
-        inner = nodes.groupBy("a", "b").agg(F.sum("weight").alias("leaves")).where("leaves > 1").select("a", "b")
+        inner = durable(nodes.groupBy("a", "b").agg(F.sum("weight").alias("leaves")).where("leaves > 1").select("a", "b"))
         span = F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("end"))
         deep = nodes.join(inner, ["a", "b"], "left_semi").groupBy("gram", "leaf").agg(F.collect_list(span).alias("spans"))
         marks = marks.union(deep)
