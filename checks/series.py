@@ -22,13 +22,13 @@ from tablematch.streaming.compare import compare, follow, follow_against, store_
 AT = datetime.datetime(2000, 1, 1)
 
 
-def chain(spark, sf_dir, versions: int = 3):
+def chain(spark, sf_dir, versions: int = 3, report: bool = False):
     """Version store with the baseline and later versions of the orders (B7)."""
     store = ct.VersionStore(spark, scratch(spark, "store"))
     store_version(store, "s1", fx.b1_source(spark, sf_dir), "orders.csv", AT, KEYS, name="orders")
     for v in range(1, versions + 1):
         at = AT + datetime.timedelta(days=v)
-        store_version(store, "s1", fx.b1_target(spark, sf_dir, v), f"orders-{v}.csv", at, data_type="master", similar=False)
+        store_version(store, "s1", fx.b1_target(spark, sf_dir, v), f"orders-{v}.csv", at, data_type="master", similar=False, report=report)
     return store
 
 
@@ -114,7 +114,7 @@ def f5(spark, sf_dir):
 
 @query("A26_activity", _steps(2) + "SELECT 3 AS files, 1 AS comparisons, 2 AS reports, 3 AS last_week, 3 AS recent, sum(target_records) AS records FROM ver", long="files comparisons reports last_week recent records")
 def a26(spark, sf_dir):
-    v = chain(spark, sf_dir, 2).versions()
+    v = chain(spark, sf_dir, 2, report=True).versions()
     return (
         mt.activity(v, "2000-01-05").withColumn("recent", mt.recent_events(v).agg(F.count("*")).scalar())
         .withColumn("records", v.agg(F.sum("target_records")).scalar())
@@ -128,7 +128,7 @@ def a28(spark, sf_dir):
 
 @query("R6_grouped_reports", "SELECT 's1' AS group_id, 'orders' AS title, 2 AS reports, 's1_v1,s1_v2' AS files, count(*) AS n FROM orders", long="reports")
 def r6(spark, sf_dir):
-    v = chain(spark, sf_dir, 2).versions()
+    v = chain(spark, sf_dir, 2, report=True).versions()
     rows = v.where("version = 0").agg(F.max("row_count")).scalar()
     return rp.grouped_reports(v).withColumn("files", F.array_join("files", ",")).withColumn("n", rows)
 
@@ -173,6 +173,31 @@ def t2(spark, sf_dir):
     return ct.series_timeline(store.versions(), "s1").select("version", "added", "deleted", "updated", "format_issues")
 
 
+@query("T2_several_arrivals", _steps(2) + "SELECT version, label, added, deleted, updated, format_issues FROM (SELECT version, 'Day ' || version AS label, added, deleted, updated, format_issues FROM ver) UNION ALL SELECT 0, 'Source', 0, 0, 0, 0")
+def t2_arrivals(spark, sf_dir):
+    """Three arrivals in one micro-batch are three versions, in order of arrival."""
+    inbox, store = scratch(spark, "inbox"), ct.VersionStore(spark, scratch(spark, "store"))
+    for v in (2, 0, 1):
+        table = fx.b1_source(spark, sf_dir) if v == 0 else fx.b1_target(spark, sf_dir, v)
+        at = F.lit(AT + datetime.timedelta(days=v))
+        _arrive(table.withColumn("batch_id", F.lit(f"b{9 - v}")).withColumn("uploaded_at", at), inbox, v)
+    stream = spark.readStream.schema(spark.read.parquet(f"{inbox}/part=0").schema).option("recursiveFileLookup", True).parquet(inbox)
+    follow(
+        stream, store, "s1", scratch(spark, "progress"), lambda df: df.drop("batch_id", "uploaded_at"), arrival="batch_id", keys=KEYS,
+        data_type="master", similar=False,
+    ).awaitTermination()
+    return ct.series_timeline(store.versions(), "s1").select("version", "label", "added", "deleted", "updated", "format_issues")
+
+
+@query("SNK4_stored_report", _steps(2) + "SELECT metric, n FROM (SELECT added AS \"Added\", deleted AS \"Deleted\", updated AS \"Updated (Value Changes)\" FROM ver WHERE version = 2) UNPIVOT (n FOR metric IN (\"Added\", \"Deleted\", \"Updated (Value Changes)\"))", long="n")
+def snk4_report(spark, sf_dir):
+    """The summary sheet that was written with the second version, read back by the name in the catalogue."""
+    store = chain(spark, sf_dir, 2, report=True)
+    name = store.latest("s1")["report_file"]
+    sheet = store.read_sheet(name, "summary").toDF("metric", "n")
+    return sheet.where(F.col("metric").isin("Added", "Deleted", "Updated (Value Changes)")).select("metric", F.col("n").cast("double").cast("long").alias("n"))
+
+
 @query("T1_periodic_compare", _steps(1) + "SELECT version, added, deleted, updated, format_issues FROM ver")
 def t1(spark, sf_dir):
     """A staged source arrives and is compared with the target as it is then."""

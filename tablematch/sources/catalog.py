@@ -17,7 +17,8 @@ from tablematch.operators.history import snapshot
 VERSION_SCHEMA = """series_id string, version int, name string, label string, filename string, created_at timestamp,
     uploaded_at timestamp, row_count long, column_count int, key_columns array<string>, data_type string, added long,
     deleted long, updated long, renamed long, duplicates long, format_issues long, source_records long,
-    target_records long, compared_against_version int, compared_against_label string, report_file string, batch_id long"""
+    target_records long, compared_against_version int, compared_against_label string, report_file string, batch_id long,
+    arrival string"""
 PROFILE_SCHEMA = """profile_id string, version int, mode string, source_column string, target_column string,
     confidence double, is_key boolean, source_index long, target_index long"""
 STAGED_SCHEMA = """batch_id string, project_name string, entity_name string, business_key string, uploaded_at timestamp,
@@ -101,9 +102,9 @@ class VersionStore:
         rows = self.versions().where(F.col("series_id") == series_id).orderBy(F.desc("version")).limit(1).collect()
         return rows[0] if rows else None
 
-    def of_batch(self, series_id: str, batch_id: int) -> Row | None:
-        """Catalogue row written by a stream batch, if that batch ran before."""
-        mine = (F.col("series_id") == series_id) & (F.col("batch_id") == batch_id)
+    def of_batch(self, series_id: str, batch_id: int, arrival: str | None = None) -> Row | None:
+        """Catalogue row written by a stream batch (for one of its arrivals), if that batch ran before."""
+        mine = (F.col("series_id") == series_id) & (F.col("batch_id") == batch_id) & F.col("arrival").eqNullSafe(F.lit(arrival))
         rows = self.versions().where(mine).limit(1).collect()
         return rows[0] if rows else None
 
@@ -135,6 +136,13 @@ class VersionStore:
     def write_snapshot(self, df: DataFrame, keys: list[str], series_id: str, version: int) -> None:
         replace_partitions(snapshot(df, keys, series_id, version), f"{self.root}/snapshots", "series_id", "version")
 
+    def report_path(self, name: str) -> str:
+        return f"{self.root}/reports/{name}"
+
+    def read_sheet(self, name: str, sheet: str) -> DataFrame:
+        """One sheet of a stored report, by the report's name in the catalogue (`report_file`)."""
+        return self.spark.read.parquet(f"{self.report_path(name)}/{sheet}")
+
     def snapshots(self) -> DataFrame:
         return _read(self.spark, f"{self.root}/snapshots", SNAPSHOT_SCHEMA)
 

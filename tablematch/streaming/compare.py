@@ -10,10 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tablematch.config import DEFAULTS, Settings
 from tablematch.operators.align import align
 from tablematch.operators.clean import add_missing_keys, data_columns, normalize
+from tablematch.operators.days import day_summary
 from tablematch.operators.insights import bucket_counts
 from tablematch.operators.lines import compare_lines
 from tablematch.operators.master import Comparison, compare_master
 from tablematch.operators.profile import detect_date_column, guess_key_columns, resolve_data_type
+from tablematch.operators.report import sheets, write_sheets
 from tablematch.plans.skew import durable
 from tablematch.sources.catalog import VersionStore
 
@@ -37,15 +39,17 @@ def compare(
 def store_version(
     store: VersionStore, series_id: str, df: DataFrame, filename: str, at, keys: list[str] | None = None, data_type: str = "auto",
     label: str | None = None, mapping: dict[str, str] | None = None, batch_id: int | None = None, name: str | None = None,
-    against: DataFrame | None = None, similar: bool = True, settings: Settings = DEFAULTS,
+    against: DataFrame | None = None, similar: bool = True, settings: Settings = DEFAULTS, arrival: str | None = None,
+    report: bool = False,
 ) -> int:
     """Append a table as the next version of its series and return its number.
 
     Version 0 is the baseline. A later version is compared with its predecessor (or with `against`); rows, diff,
     snapshots and the catalogue row are written, the catalogue row last. A stream batch that runs again finds its
-    number by `batch_id` and rewrites the same partitions.
+    number by `batch_id` and `arrival` and rewrites the same partitions. With `report` the sheets are written too, and
+    the catalogue row names them.
     """
-    again = store.of_batch(series_id, batch_id) if batch_id is not None else None
+    again = store.of_batch(series_id, batch_id, arrival) if batch_id is not None else None
     before = store.latest(series_id)
     if again is not None:
         version = again["version"]
@@ -60,6 +64,7 @@ def store_version(
         "label": label or ("Source" if version == 0 else f"Day {version}"), "filename": filename,
         "created_at": before["created_at"] if before else at, "uploaded_at": at, "row_count": new.count(),
         "column_count": len(data_columns(new)), "data_type": data_type, "batch_id": batch_id, "key_columns": keys,
+        "arrival": arrival,
     }
     if before is None and against is None:
         store.write_data(new, series_id, version)
@@ -78,13 +83,17 @@ def store_version(
         # the predecessor's snapshot is missing (baseline) or was keyed otherwise
         store.write_snapshot(result.source, result.layout.keys, series_id, version - 1)
     store.write_snapshot(result.target, result.layout.keys, series_id, version)
+    named = f"{series_id}_v{version}" if report else None
+    if named:
+        labels = before["label"] if before else "Source", entry["label"]
+        write_sheets(sheets(result, day_summary(result, str(at)[:10]), *labels), store.report_path(named))
     entry.update(
         key_columns=result.layout.keys, data_type=result.data_type, added=counts["missing_in_source"],
         deleted=counts["missing_in_target"], updated=counts["mismatches"], renamed=counts["fuzzy_matches"],
         duplicates=counts["duplicates_source"] + counts["duplicates_target"], format_issues=counts["format_inconsistencies"],
         source_records=counts["source_record_count"], target_records=counts["target_record_count"],
         compared_against_version=before["version"] if before else None, compared_against_label=before["label"] if before else "Source",
-        report_file=f"{series_id}_v{version}",
+        report_file=named,
     )
     store.add(entry)
     return version
@@ -92,14 +101,23 @@ def store_version(
 
 def follow(
     arrivals: DataFrame, store: VersionStore, series_id: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
-    every: str | None = None, **options,
+    every: str | None = None, arrival: str | None = None, arrived_at: str = "uploaded_at", **options,
 ) -> StreamingQuery:
-    """Version chain over a stream: each micro-batch becomes a version compared with the one before. Without `every`
-    the query handles what is there and stops."""
+    """Version chain over a stream: each micro-batch becomes a version compared with the one before. Where a micro-batch
+    can hold several arrivals, `arrival` names the column that tells them apart: each becomes a version of its own, in
+    order of `arrived_at`. Without `every` the query handles what is there and stops."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        if arrival is not None:
+            # one row per arrival, as in the catalogue
+            name = F.coalesce(F.col(arrival).cast("string"), F.lit(""))
+            parts = batch.groupBy(name.alias("name")).agg(F.min(arrived_at).alias("at")).orderBy("at", "name").collect()
+            for part in parts:
+                rows = prepare(batch.where(name == part["name"]))
+                store_version(store, series_id, rows, part["name"], part["at"], batch_id=batch_id, arrival=part["name"], **options)
+            return
         at = batch.sparkSession.sql("SELECT current_timestamp() AS t").first()["t"]
         store_version(store, series_id, prepare(batch), f"batch-{batch_id}", at, batch_id=batch_id, **options)
 

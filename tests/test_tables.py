@@ -124,6 +124,20 @@ def test_stream_restart_continues_the_chain(spark, tmp_path):
     assert got == [(0, None, None), (1, 1, 0), (2, 1, 1)]
 
 
+def test_a_batch_of_several_arrivals_runs_twice(spark, tmp_path):
+    """One version per arrival, and the same versions when the batch comes again."""
+    store = ct.VersionStore(spark, str(tmp_path / "store"))
+    at = datetime.datetime(2024, 1, 1)
+    for _ in range(2):
+        for i, change in enumerate(({}, {1: ("y", "10")}, {2: None})):
+            store_version(
+                store, "s", orders(spark, change), "f", at, batch_id=0, arrival=f"a{i}", data_type="master", similar=False, report=i == 2,
+            )
+    got = [(v.version, v.arrival, v.updated, v.deleted, v.report_file) for v in store.versions().orderBy("version").collect()]
+    assert got == [(0, "a0", None, None, None), (1, "a1", 1, 0, None), (2, "a2", 1, 1, "s_v2")]
+    assert store.read_sheet("s_v2", "deleted").count() == 1
+
+
 def test_quoted_cells(spark, tmp_path):
     from tablematch.sources.readers import read_grid, read_strings
 
