@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tablematch.llm import quality
@@ -44,3 +45,32 @@ def test_query_keeps_good_documents(spark):
     share = {(r.quality, r.toxic): r.kept for r in out.join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     print(share)
     assert share[1, 0] > 0.99 and share[0, 0] < 0.2
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 2), ("sf0.01", 10)])
+def test_query_rejects_at_small_sizes(spark, sf, most):
+    """Labelled rejects (quality 0) go on small input too: 9 + 2 of them at sf0.001, 49 + 9 at sf0.01."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    rows = QUERIES["op6_quality"](spark, f"/root/testdata/{sf}").join(labels, "doc_id").select("quality", "toxic", "kept").collect()
+    print(sf, {(q, t): sum(r.kept for r in rows if (r.quality, r.toxic) == (q, t)) for q in (0, 1) for t in (0, 1)})
+    good = [r.kept for r in rows if (r.quality, r.toxic) == (1, 0)]
+    assert np.mean(good) > 0.98
+    assert sum(r.kept for r in rows if (r.quality, r.toxic) == (0, 0)) <= most
+
+
+def test_length_does_not_decide(spark):
+    """Long good texts with some bad words do not set a floor that all short bad texts pass."""
+    rng = np.random.default_rng(4)
+    good, bad = ["alpha", "beta", "gamma", "delta"], ["zig", "zag", "zog", "beta"]
+    rows, labels = [], []
+    for i in range(400):
+        fine = i % 4 > 0
+        rows.append((i, " ".join(rng.choice(good if fine else bad, 30))))
+        labels.append((i, int(fine), 0))
+    for i in range(400, 408):  # good by label, long, half the words of bad texts
+        rows.append((i, " ".join(rng.choice(good + bad, 300))))
+        labels.append((i, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.kept for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(kept[i] for i in range(0, 400, 4)) <= 5
+    assert np.mean([kept[i] for i in range(408) if i % 4 or i >= 400]) > 0.95
