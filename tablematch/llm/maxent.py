@@ -23,7 +23,9 @@ OWN, ENDINGS, ROWS = 32, 32, 1 << 15
 #: The most words whose counts every executor holds, and of them those that are told apart in the text before.
 FREQUENT, CONTEXT, ENDING_BITS = 65_536, 4096, 10
 #: One token in so many trains; rounds of updates; tasks of a round; step and batch of an update.
-EVERY, ROUNDS, TASKS, STEP, BATCH = 8, 3, 128, 0.15, 1024
+EVERY, ROUNDS, TASKS, STEP, BATCH = 1, 3, 128, 0.15, 1024
+#: Bytes of text that a task takes apart at a time.
+SLICE = 1 << 20
 _END = hashes([b""])[0]
 _START = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -101,22 +103,41 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     return scores
 
 
+def row_sums(gradient: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sum of the lines of `gradient` that name each. The second, third, ... lines of all rows are
+    added at once, the rest of a frequent row in one piece."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.r_[True, flat[order[1:]] != flat[order[:-1]]])
+    n = np.diff(np.r_[starts, len(flat)])
+    by_size, line, most = np.argsort(-n, kind="stable"), order // rows.shape[1], 16
+    first, n = starts[by_size], n[by_size]
+    sums = gradient[line[first]]
+    for k in range(1, most):
+        live = np.searchsorted(-n, -k, "left")
+        if not live:
+            break
+        sums[:live] += gradient[line[first[:live] + k]]
+    for i in range(np.searchsorted(-n, -most, "left")):
+        sums[i] += gradient[line[first[i] + most:first[i] + n[i]]].sum(axis=0)
+    return flat[order[first]], sums
+
+
 def updated(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step on a batch, in place; each weight's step falls with the squares of its gradients."""
     gradient = softmax(weights, bias, rows)
     gradient[np.arange(len(rows)), classes] -= 1
-    touched, at = np.unique(rows.ravel(), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    sums = np.add.reduceat(np.repeat(gradient, rows.shape[1], axis=0)[order], np.searchsorted(at[order], np.arange(len(touched))), axis=0)
-    squares[touched] += sums**2
-    weights[touched] -= STEP * sums / np.sqrt(squares[touched] + 1)
+    touched, sums = row_sums(gradient, rows)
+    scale = squares[touched] + sums**2
+    squares[touched] = scale
+    weights[touched] -= STEP * sums / np.sqrt(scale + 1)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, ending, c): how often each token stands in `_text`."""
 
     def count(batches):
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             word, ending, _, _ = tokens(batch["_text"])
             distinct, first, n = np.unique(word, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(ending[first]), pa.array(n)], ["word", "ending", "n"])
@@ -154,20 +175,20 @@ def collected(counts: DataFrame) -> Counts:
 
 
 def examples(rows: DataFrame, counts: Counts, every: int, rounds: int) -> DataFrame:
-    """(round, rows, classes): a hashed share of all tokens of `_text`, dealt to rounds, as packed arrays."""
+    """(round, rows, classes): all tokens of `_text` (a hashed share of them if `every` is above 1), dealt to rounds, as packed arrays."""
     held = rows.sparkSession.sparkContext.broadcast(counts)
 
     def pick(batches):
         c = held.value
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             word, ending, text, place = tokens(batch["_text"])
             key = batch["_h"].to_numpy().view(np.uint64)[text]
             with np.errstate(over="ignore"):
                 draw = mixed(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(every * rounds)
             _, rank = c.known(word)
-            features, classes = c.features(word, ending, place, rank), c.classes(word, ending, rank).astype(np.uint8)
+            features, classes = c.features(word, ending, place, rank).astype(np.uint16), c.classes(word, ending, rank).astype(np.uint8)
             for r in range(rounds):
-                some = np.flatnonzero(draw == r) if every > 1 else np.flatnonzero(draw % np.uint64(rounds) == r)
+                some = np.flatnonzero(draw == r)
                 if len(some):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r], pa.int32()), pa.array([features[some].tobytes()], pa.binary()), pa.array([classes[some].tobytes()], pa.binary())],
@@ -189,7 +210,7 @@ def trained(spark: SparkSession, table: DataFrame, bias: np.ndarray, rounds: int
             own, squares, used = start.copy(), np.zeros_like(start), np.zeros(ROWS, np.int64)
             for batch in batches:
                 for packed, classes in zip(batch["rows"].to_pylist(), batch["classes"].to_pylist()):
-                    rows, want = np.frombuffer(packed, np.int32).reshape(-1, 4), np.frombuffer(classes, np.uint8)
+                    rows, want = np.frombuffer(packed, np.uint16).reshape(-1, 4), np.frombuffer(classes, np.uint8)
                     used += np.bincount(rows.ravel(), minlength=ROWS)
                     for i in range(0, len(rows), BATCH):
                         updated(own, squares, b, rows[i:i + BATCH], want[i:i + BATCH])
@@ -234,7 +255,8 @@ def score_texts(
     The model learns from the rows where `held_out` is false (null counts as false). Tokens are the words, A-Z lower-cased,
     and one end. `base_score` adds log10((c + 1) / (N + V + 1)) for the tokens, c being a token's count in training, N all
     tokens and V the distinct ones; `score` is that of the model, `n_known` the tokens with c > 0. Counts are of all
-    training texts; one token in `every`, from all texts, trains the weights. Null and empty texts are one end. Repeated
+    training texts; each token trains the weights in one round
+    (one in `every` of them, if that is above 1). Null and empty texts are one end. Repeated
     rows and null ids get a row each. Without training rows N is 0 and all words of a class are alike. An empty table
     gives an empty result; other columns than id, text and those of `held_out` are not read."""
     spark = docs.sparkSession
@@ -254,7 +276,7 @@ def score_texts(
         counts, weights, bias = model.value
         share = np.log10(counts.class_tokens + counts.class_words + 1)
         share[:OWN] = 0
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             word, ending, text, place = tokens(batch["_text"])
             count, rank = counts.known(word)
             rank_rows, classes = counts.features(word, ending, place, rank), counts.classes(word, ending, rank)

@@ -64,3 +64,21 @@ def test_probabilities_add_up():
     bias, weights = rng.standard_normal(64).astype(np.float32), rng.standard_normal((maxent.ROWS, 64)).astype(np.float32)
     p = maxent.softmax(weights, bias, rng.integers(0, maxent.ROWS, (5, 4)))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+
+
+def test_every_token_trains(spark):
+    rows = spark.createDataFrame([("a b c a",), ("",), ("c " * 500,)], "_text string").select(F.xxhash64("_text").alias("_h"), "_text")
+    counts = maxent.collected(maxent.word_counts(rows))
+    shown = maxent.examples(rows, counts, maxent.EVERY, maxent.ROUNDS).collect()
+    assert sum(len(r.classes) for r in shown) == 5 + 1 + 501 == counts.n
+    assert all(len(r.rows) == 2 * 4 * len(r.classes) for r in shown) and {r["round"] for r in shown} == set(range(maxent.ROUNDS))
+
+
+def test_row_sums():
+    rng = np.random.default_rng(8)
+    for top in (1, 3, 20, 4000):
+        rows, gradient = rng.integers(0, top, (300, 4)), rng.standard_normal((300, 8))
+        want = np.zeros((top, 8))
+        np.add.at(want, rows.ravel(), np.repeat(gradient, 4, axis=0))
+        touched, sums = maxent.row_sums(gradient, rows)
+        assert sorted(touched) == sorted(set(rows.ravel())) and np.allclose(sums, want[touched])
