@@ -3,7 +3,7 @@
 Each line has a place (document, number). The name of a place at some depth is the first place from which the same lines
 stand, so equal names are one interval of the suffix array with a common prefix of that depth. Depth doubles by pairing
 the names of two places; places that nothing shares are dropped before the next round. At depth `min_lines` a place whose
-name is an earlier place begins a later copy; what such places cover are the repeated runs at their full length.
+name is an earlier place begins a later copy; what such places cover are all lines of repeated runs, where adjoining runs make one stretch.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def remove_repeated_lines(
 
     Lines are what stands between line feeds, compared exactly. A line goes if it lies in a run of `min_lines` lines or
     more that also stands earlier: in a document of smaller id, or further up. Runs are judged on the texts as given.
-    `n_runs` and `longest_run` tell the maximal runs that went. Ids are integers; null ids come last. Rows equal in id and
+    `n_runs` and `longest_run` tell the stretches of lines that went: adjoining runs copied from two places are one stretch. Ids are integers; null ids come last. Rows equal in id and
     text are one document and get the same result; rows of one id with different texts are ordered by their hash. A null
     text is one empty line; an empty table gives an empty result; other columns are not read."""
     out = _without(keyed(docs, id_col, text_col), min_lines)
