@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablematch.llm import caps, lines, maxent, mixing, packing, quality, rules, simhash, substrings, warc
+from tablematch.llm import caps, html, lines, maxent, mixing, packing, quality, rules, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ ORACLES["op8_warc"] = warc.SQL
 @query
 def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
+
+
+@query
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
