@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablematch.llm import caps, html, lines, maxent, mixing, packing, quality, rules, simhash, substrings, warc
+from tablematch.llm import caps, html, lines, manifest, maxent, mixing, packing, quality, rules, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,13 @@ def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.merkle_manifest(documents(spark, sf_dir), found={"text": found})
+
+
+ORACLES["op12_manifest"] = manifest.SQL
