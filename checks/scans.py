@@ -37,12 +37,21 @@ def src1(spark, sf_dir):
     return rd.read_strings(spark, orders_csv(spark, sf_dir), ordinal=False)
 
 
-@query("W3_ordinal", "SELECT count(*) AS n, count(*) AS ids, 0 AS low, count(*) - 1 AS high FROM orders", long="low")
+@query("SRC1_quoted_records", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rid, CAST(doc_id AS VARCHAR) AS id, text, lang, source FROM documents")
+def src1_quoted(spark, sf_dir):
+    """Texts with commas, quotes and line breaks in many quoted cells, written in order and read split by split."""
+    path = scratch(spark, "quoted")
+    docs = fx.table(spark, sf_dir, "documents").orderBy("doc_id").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    exact = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(**exact).csv(path)
+    return rd.read_strings(spark, path, multi_line=True).withColumnRenamed("_rid", "rid")
+
+
+@query("W3_ordinal", "SELECT CAST(o_orderkey AS VARCHAR) AS order_no, CAST(o_custkey AS VARCHAR) AS cust, row_number() OVER (ORDER BY o_orderkey) - 1 AS rid FROM orders")
 def w3(spark, sf_dir):
-    rows = with_ordinal(spark.read.option("header", True).csv(orders_csv(spark, sf_dir)))
-    return rows.agg(
-        F.count("*").alias("n"), F.count_distinct("_rid").alias("ids"), F.min("_rid").alias("low"), F.max("_rid").alias("high")
-    )
+    path = scratch(spark, "ordered")
+    fx.b1_source(spark, sf_dir).orderBy("_rid").drop("_rid").write.option("header", True).csv(path)
+    return with_ordinal(spark.read.option("header", True).csv(path)).select("order_no", "cust", F.col("_rid").alias("rid"))
 
 
 @query(
@@ -70,10 +79,11 @@ def grid_file(spark, sf_dir) -> str:
     return path
 
 
-@query("SRC2_read_grid", "SELECT (SELECT count(*) FROM orders) + 3 AS n, 5 AS columns")
+@query("SRC2_read_grid", ORDERS_TEXT + """SELECT 0 AS _rid, 'Order export' AS _c0, NULL AS _c1, NULL AS _c2, NULL AS _c3, NULL AS _c4
+UNION ALL SELECT 1, 'Order No', 'Customer', 'Status', 'Amount', 'Order Date' UNION ALL SELECT 2, 'order', 'cust', 'type', 'total', 'date'
+UNION ALL SELECT 2 + row_number() OVER (ORDER BY rid), order_no, cust, status, amount, d FROM b1s""", long="_rid")
 def src2(spark, sf_dir):
-    grid = rd.read_grid(spark, grid_file(spark, sf_dir))
-    return grid.agg(F.count("*").alias("n"), F.lit(len(grid.columns) - 1).alias("columns"))
+    return rd.read_grid(spark, grid_file(spark, sf_dir))
 
 
 @query(

@@ -26,9 +26,14 @@ from tablematch.plans.skew import ranked
 from tablematch.sources import readers as rd
 
 
-@query("SNK1_stage_rows", "SELECT 'b1' AS batch_id, count(*) AS n, 'c_custkey' AS business_key FROM customer UNION ALL SELECT 'b2', count(*), 'c_custkey' FROM customer")
+SNK1_SQL = """SELECT 'b1' AS batch_id, 'c_custkey' AS business_key, 'p' AS project_name, '{"c_custkey":' || c_custkey || '}' AS row_data FROM customer
+UNION ALL SELECT 'b2', 'c_custkey', 'p', '{"c_custkey":' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ',"c_name":"' || c_name || '"' ELSE '' END
+  || ',"c_mktsegment":"' || c_mktsegment || '"}' FROM customer"""
+
+
+@query("SNK1_stage_rows", SNK1_SQL)
 def snk1(spark, sf_dir):
-    return stage_two_batches(spark, sf_dir).groupBy("batch_id", "business_key").agg(F.count("row_data").alias("n"))
+    return stage_two_batches(spark, sf_dir).select("batch_id", "business_key", "project_name", "row_data")
 
 
 @query("SRC5_records_to_columns", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")

@@ -8,28 +8,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablematch.config import DEFAULTS, Settings
 from tablematch.operators.clean import drop_unnamed
+from tablematch.sources import records as rc
 from tablematch.sources.ordinal import with_ordinal
 
 
-def _delimited(spark: SparkSession, header: bool, multi_line: bool, strict: bool):
-    """Text cells; inside quotes, a doubled quote is a quote and commas are text. `multi_line`: line breaks inside quotes
-    too, at the price that a file is read by one task. `strict`: lines with too few or too many cells end the read with
-    an error, instead of filling up or cutting off."""
+def _delimited(spark: SparkSession, header: bool, strict: bool):
+    """Text cells; inside quotes, a doubled quote is a quote and commas are text. `strict`: lines with too few or too many
+    cells end the read with an error, instead of filling up or cutting off."""
     reader = spark.read.option("header", header).option("inferSchema", False).option("quote", '"').option("escape", '"')
-    return reader.option("multiLine", multi_line).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE")
+
+
+def _quoted(spark: SparkSession, path: str, header: bool, strict: bool) -> DataFrame:
+    """The same with line breaks inside quotes: `_rid` and the cells of the records of `read_records`."""
+    found = rc.read_records(spark, path)
+    head = rc.first_cells(found)
+    names = rc.column_labels(head) if header else [f"_c{i}" for i in range(len(head))]
+    body = found.where("NOT first").select((F.col("rid") - 1).alias("_rid"), "file", "text") if header else found.select(F.col("rid").alias("_rid"), "file", "text")
+    row = body.withColumn("_row", rc.cells(F.col("text"), max(len(head), 1), strict=strict))
+    return row.select("_rid", *[F.col("_row")[f"_c{i}"].alias(n) for i, n in enumerate(names)])
 
 
 def read_strings(
     spark: SparkSession, path: str, settings: Settings = DEFAULTS, ordinal: bool = True, multi_line: bool = False, strict: bool = False,
 ) -> DataFrame:
-    """Delimited file with a header, every column a string; headerless columns with hardly any values are dropped."""
-    scan = _delimited(spark, True, multi_line, strict).csv(path)
+    """Delimited file with a header, every column a string; headerless columns with hardly any values are dropped.
+    `multi_line`: cells may hold line breaks inside quotes; files are still read in many tasks (`sources.records`)."""
+    if multi_line:
+        table = _quoted(spark, path, True, strict)
+        return drop_unnamed(table if ordinal else table.drop("_rid"), settings)
+    scan = _delimited(spark, True, strict).csv(path)
     return drop_unnamed(with_ordinal(scan) if ordinal else scan, settings)
 
 
 def read_grid(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Delimited file as a raw grid of text cells `_c0 … _cn` with row ordinals; the header is found later."""
-    return with_ordinal(_delimited(spark, False, multi_line, False).csv(path))
+    if multi_line:
+        return _quoted(spark, path, False, False)
+    return with_ordinal(_delimited(spark, False, False).csv(path))
 
 
 @dataclass
