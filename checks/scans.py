@@ -15,6 +15,7 @@ from tablematch.operators import clean as cl
 from tablematch.plans.skew import work_folder
 from tablematch.sources import catalog as ct
 from tablematch.sources import readers as rd
+from tablematch.sources import workbook as wb
 from tablematch.sources.ordinal import internal_id, with_ordinal, with_ordinal_by
 from tablematch.sources.text_chunks import chunk_records, chunk_rows
 
@@ -86,6 +87,16 @@ def src2(spark, sf_dir):
     return rd.read_grid(spark, grid_file(spark, sf_dir))
 
 
+@query("SRC2_workbook", ORDERS_TEXT + """SELECT 0 AS _rid, 'Order No' AS _c0, 'Customer' AS _c1, 'Status' AS _c2, 'Amount' AS _c3, 'Order Date' AS _c4
+UNION ALL SELECT row_number() OVER (ORDER BY rid), order_no, cust, status, rtrim(rtrim(amount, '0'), '.'), d FROM b1s""", long="_rid")
+def src2_workbook(spark, sf_dir):
+    """The orders as a workbook, amounts as numbers, read in blocks of 4000 rows."""
+    path = scratch(spark, "workbook")
+    rows = fx.b1_source(spark, sf_dir).orderBy("_rid").drop("_rid").withColumn("amount", F.col("amount").cast("double"))
+    wb.write_workbooks(rows.toDF("Order No", "Customer", "Status", "Amount", "Order Date").coalesce(1), path)
+    return wb.read_workbook(spark, path, sheet="*", block=4000)
+
+
 @query(
     "P14_load_and_map",
     ORDERS_TEXT + """SELECT order_no AS "TxnNumber", status AS "TxnType", CAST(d AS DATE) AS "TxnDate", CAST(amount AS DOUBLE) AS "Amount", cust AS "Customer" FROM b1s""",
