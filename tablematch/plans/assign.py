@@ -129,11 +129,12 @@ def optimal_pairs(score: np.ndarray) -> list[tuple[int, int]]:
 
 
 def assign_columns(scores: DataFrame) -> DataFrame:
-    """Optimal 1:1 column assignment of many table pairs at once. Input (pair_id, source_pos, target_pos, score);
+    """Optimal 1:1 column assignment of many table pairs at once. Input (pair_id, source_pos, target_pos, score); a pair
+    of columns that is not given scores nothing. Spark deals out the table pairs;
     a group is the column matrix of one table pair, so its size is bounded by the two schemas."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = pdf.pivot(index="source_pos", columns="target_pos", values="score").sort_index().sort_index(axis=1)
+        matrix = pdf.pivot(index="source_pos", columns="target_pos", values="score").sort_index().sort_index(axis=1).fillna(0.0)
         chosen = optimal_pairs(matrix.to_numpy())
         return pd.DataFrame(
             {
