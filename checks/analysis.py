@@ -141,7 +141,34 @@ def renamed_orders(spark, sf_dir):
     )
 
 
-@query("J11_column_signals")
+#: Ratios of the names of `renamed_orders` (S-12): twice the characters in matching blocks over all characters, per row of the source.
+NAME_RATIOS = [(14 / 20, 6 / 20, 2 / 18, 4 / 24, 10 / 25), (10 / 21, 16 / 21, 4 / 19, 6 / 25, 8 / 26), (2 / 19, 4 / 19, 12 / 17, 6 / 23, 8 / 24),
+               (6 / 20, 6 / 20, 6 / 18, 12 / 24, 8 / 25), (12 / 18, 6 / 18, 4 / 16, 6 / 22, 10 / 23)]
+J11_SQL = f"""WITH {fx.SQL_ORDERS}, {fx.SQL_B1_SOURCE}, {fx.sql_b1_target()},
+names AS (SELECT * FROM (VALUES ('s', 0, 'orderNumber', 'order number', 'Identifier'), ('s', 1, 'customerCode', 'customer code', 'String'), ('s', 2, 'statusFlag', 'status flag', 'Categorical'),
+  ('s', 3, 'totalAmount', 'total amount', 'Phone'), ('s', 4, 'orderDate', 'order date', 'Date'), ('t', 0, 'order_no', 'order no', 'Identifier'), ('t', 1, 'customer', 'customer', 'String'),
+  ('t', 2, 'status', 'status', 'Categorical'), ('t', 3, 'amount_total', 'amount total', 'Phone'), ('t', 4, 'date_of_order', 'date of order', 'Date')) n(side, pos, name, words, kind)),
+cells AS (SELECT 's' AS side, unnest([order_no, cust, status, amount, d]) AS v, unnest([0, 1, 2, 3, 4]) AS pos FROM b1s
+  UNION ALL SELECT 't', unnest([order_no, cust, status, amount, d]), unnest([0, 1, 2, 3, 4]) FROM b1t),
+stats AS (SELECT side, pos, count(*) AS n, round(count(DISTINCT v) / count(*), 4) AS uniq, round(avg(length(v)), 2) AS len, count(DISTINCT trim(v)) AS d FROM cells GROUP BY ALL),
+c AS (SELECT * FROM names JOIN stats USING (side, pos)),
+ratios AS (SELECT s.i AS sp, t.j AS tp, ({list(map(list, NAME_RATIOS))})[s.i + 1][t.j + 1] AS ratio FROM range(5) s(i), range(5) t(j)),
+shared AS (SELECT a.pos AS sp, b.pos AS tp, count(DISTINCT trim(a.v)) AS n FROM cells a JOIN cells b ON trim(a.v) = trim(b.v) AND a.side = 's' AND b.side = 't' GROUP BY ALL),
+p AS (SELECT 'pair' AS pair_id, s.pos AS source_pos, t.pos AS target_pos, s.name AS source_column, t.name AS target_column,
+  round(CASE WHEN contains(s.words, t.words) OR contains(t.words, s.words) THEN greatest(ratio, 0.85) ELSE ratio END, 4) AS header_similarity,
+  CASE WHEN s.kind = t.kind THEN 1.0 ELSE 0.4 END AS datatype_compatibility, round(coalesce(x.n, 0) / (s.d + t.d - coalesce(x.n, 0)), 4) AS value_overlap,
+  CASE WHEN s.kind = t.kind AND s.kind IN ('Email', 'Phone', 'Identifier', 'Date', 'Datetime') THEN 1.0 ELSE 0.5 END AS pattern_similarity,
+  round(greatest(0, 1 - abs(s.len - t.len) / 50), 4) AS profile_similarity,
+  round(len(list_intersect(string_split(s.words, ' '), string_split(t.words, ' '))) / len(list_distinct(list_concat(string_split(s.words, ' '), string_split(t.words, ' ')))), 4) AS semantic_similarity,
+  round(greatest(0, 1 - abs(s.uniq - t.uniq)), 4) AS uniqueness_compatibility, 1.0 AS null_compatibility
+  FROM c s JOIN c t ON s.side = 's' AND t.side = 't' JOIN ratios ON sp = s.pos AND tp = t.pos LEFT JOIN shared x ON x.sp = s.pos AND x.tp = t.pos),
+q AS (SELECT *, round(header_similarity * 0.25 + datatype_compatibility * 0.15 + value_overlap * 0.2 + pattern_similarity * 0.1 + profile_similarity * 0.1 + semantic_similarity * 0.1
+  + uniqueness_compatibility * 0.05 + null_compatibility * 0.05, 4) AS confidence FROM p)
+SELECT *, CASE WHEN confidence >= 0.85 THEN 'VERY HIGH' WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'NEEDS REVIEW' ELSE 'LOW' END AS category FROM q"""
+_SIGNALS = "header_similarity datatype_compatibility value_overlap pattern_similarity profile_similarity semantic_similarity uniqueness_compatibility null_compatibility confidence"
+
+
+@query("J11_column_signals", f"SELECT * REPLACE (CAST(source_pos AS INT) AS source_pos, CAST(target_pos AS INT) AS target_pos) FROM ({J11_SQL})", double=_SIGNALS)
 def j11(spark, sf_dir):
     return sm.column_signals(*renamed_orders(spark, sf_dir))
 

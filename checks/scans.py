@@ -318,15 +318,6 @@ def s9(spark, sf_dir):
     )
 
 
-@query("S12_name_ratio", """SELECT a.name AS left_name, b.name AS right_name, CAST(t.ratio AS DOUBLE) AS ratio FROM
-  (VALUES ('r_regionkey', 'n_regionkey', 0.909091), ('r_name', 'n_name', 0.833333)) t(l, r, ratio)
-  JOIN (SELECT column_name AS name FROM (DESCRIBE region)) a ON a.name = t.l JOIN (SELECT column_name AS name FROM (DESCRIBE nation)) b ON b.name = t.r""")
-def s12(spark, sf_dir):
-    """Similarity of the column names of two tables, where it is 0.8 or more."""
-    region, nation = fx.table(spark, sf_dir, "region"), fx.table(spark, sf_dir, "nation")
-    return tx.name_ratios(spark, region.columns, nation.columns).where("ratio >= 0.8").withColumn("ratio", F.round("ratio", 6))
-
-
 @query("S15_null_like", "SELECT count(*) FILTER (l_linenumber = 1) AS empty, count(*) FILTER (l_linenumber <> 1) AS filled FROM lineitem")
 def s15(spark, sf_dir):
     t = F.when(F.col("l_linenumber") == 1, F.element_at(F.array(*[F.lit(x) for x in (" NaN ", "none", "<NA>", "  ")]), (F.col("l_orderkey") % 4 + 1).cast("int"))).otherwise(F.col("l_returnflag"))
