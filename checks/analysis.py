@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks import fixtures as fx
 from checks.comparisons import KEYS, b1_comparison, b2_ledger, b3, or_none
 from checks.registry import query
 from checks.scans import scratch
 from tablematch.functions import values as vl
+from tablematch.operators import catalogue as cg
 from tablematch.operators import days as dy
 from tablematch.operators import history as hs
-from tablematch.operators import catalogue as cg
 from tablematch.operators import insights as ins
+from tablematch.operators import keys as ky
 from tablematch.operators import ledger as lg
 from tablematch.operators import profile as pf
 from tablematch.operators import report as rp
@@ -141,6 +145,34 @@ def renamed_orders(spark, sf_dir):
     )
 
 
+KEYED = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity",
+    "conversations": "conv_id turn role text", "events": "user_id event_type ts value", "supplier": "s_name s_nationkey s_acctbal",
+}
+
+
+def _key_sets(most: int):
+    for t, names in KEYED.items():
+        columns = names.split()
+        for k in range(1, most + 1):
+            for s in combinations(columns, k):
+                yield t, s
+
+
+KEYS_SQL = "WITH u AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, {list(s)} AS key_columns, count(*) = count(DISTINCT ({', '.join(s)},)) AS hit FROM {t}" if len(s) == 1 else
+    f"SELECT '{t}' AS t, {list(s)} AS key_columns, count(*) = count(DISTINCT ({', '.join(s)})) AS hit FROM {t}" for t, s in _key_sets(3)
+) + """) SELECT t AS table_name, array_to_string(key_columns, ',') AS key_columns, len(key_columns) AS size FROM u
+WHERE hit AND NOT EXISTS (SELECT 1 FROM u v WHERE v.t = u.t AND v.hit AND len(v.key_columns) < len(u.key_columns) AND list_has_all(u.key_columns, v.key_columns))"""
+
+
+@query("A5_composite_keys", f"SELECT * REPLACE (CAST(size AS INT) AS size) FROM ({KEYS_SQL})")
+def a5_composite(spark, sf_dir):
+    """All least keys of up to three columns of five tables."""
+    found = [ky.composite_keys(fx.table(spark, sf_dir, t), names.split(), 3).withColumn("table_name", F.lit(t)) for t, names in KEYED.items()]
+    return reduce(DataFrame.union, found).select("table_name", F.array_join("key_columns", ",").alias("key_columns"), "size")
+
+
 #: Ratios of the names of `renamed_orders` (S-12): twice the characters in matching blocks over all characters, per row of the source.
 NAME_RATIOS = [(14 / 20, 6 / 20, 2 / 18, 4 / 24, 10 / 25), (10 / 21, 16 / 21, 4 / 19, 6 / 25, 8 / 26), (2 / 19, 4 / 19, 12 / 17, 6 / 23, 8 / 24),
                (6 / 20, 6 / 20, 6 / 18, 12 / 24, 8 / 25), (12 / 18, 6 / 18, 4 / 16, 6 / 22, 10 / 23)]
