@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tablematch.config import STRICT_NUMBER_PATTERN
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_PLAIN_NUMBER = r"^(-?[1-9][0-9]{0,17}|0)(\.[0-9]{1,12})?$"
 _CLOCK = r"([T ]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?( ?([AaPp][Mm]|Z|[+-][0-9]{2}:?[0-9]{2}))?)?$"
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _NUMERIC_DATE = r"^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})" + _CLOCK
@@ -20,6 +21,8 @@ _MONTHS = (
 _NAMED_DATE = r"(?i)^([0-9]{1,2}[- ]" + _MONTHS + r"|" + _MONTHS + r"[- ][0-9]{1,2}),?[- ][0-9]{4}" + _CLOCK
 _MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
 CANON_SCALE = "decimal(38,12)"
+#: Characters of the shortest date, such as 1/1/2024.
+_SHORTEST_DATE = 8
 
 
 def as_text(c: Column, data_type: T.DataType | None = None) -> Column:
@@ -84,10 +87,14 @@ def canonical(c: Column) -> Column:
         )
 
     def other(t: Column) -> Column:
-        return F.coalesce(F.concat(F.lit("date:"), _read_date(t).cast("string")), F.concat(F.lit("text:"), F.lower(t)))
+        day = F.when(F.length(t) >= _SHORTEST_DATE, F.concat(F.lit("date:"), _read_date(t).cast("string")))
+        return F.coalesce(day, F.concat(F.lit("text:"), F.lower(t)))
 
     def tagged(t: Column) -> Column:
-        return F.when(t == "", F.lit("")).otherwise(F.coalesce(bind(_bare_number(t), number), other(t)))
+        # what most cells hold comes first: plain numbers without a decimal, and dates as they are written in the result
+        plain = F.when(t.rlike(_PLAIN_NUMBER), F.concat(F.lit("number:"), _strip_zeros(t)))
+        iso = F.when(t.rlike(_ISO_DATE), F.concat(F.lit("date:"), t.try_cast("date").cast("string")))
+        return F.when(t == "", F.lit("")).otherwise(F.coalesce(plain, iso, bind(_bare_number(t), number), other(t)))
 
     return bind(F.trim(F.coalesce(c.cast("string"), F.lit(""))), tagged)
 
