@@ -7,6 +7,7 @@ rank among the pieces of its length, which is counted in slices, so that a commo
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -15,84 +16,51 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablematch.llm.common import slices
 from tablematch.plans.skew import durable
 
 CAPACITY = 2048
-_KNOWN, _LONG, _AT_ONCE = 400_000, 64, 5000
 #: Pieces of one length that are ranked in one task.
 SLICE = 1_000_000
 
 
+# Fixed value: how byte-level files of this kind cut texts before they merge bytes.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Token ids of texts by a byte-level BPE file. Texts are cut before spaces and line feeds that stand alone, where a part
-    encodes as it does in the text; parts seen before are looked up."""
+    """Token ids of texts by a byte-level BPE file, as the plain call `encode(text, add_special_tokens=False)` gives them.
+
+    The merges of such a file make tokens in the order of their ids, so that the ids are ranks, by which a faster encoder of
+    the same algorithm works. Texts that hold an added token of the file, or runs of white space too long for that
+    encoder's pattern, go through the plain call. Files of another kind are refused."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole, self.word = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = self.word.encode_special_tokens = True
-        # for parts that the pattern of the file leaves in one piece
-        self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-
-    def split(self, text: str) -> tuple[str, str]:
-        """The first part, and the others, each after a space; a part that begins with a line feed has no space of its own."""
-        if not re.search(r"\s\s|\s\Z", text):
-            text = text.replace("\n", " \n")
-        elif re.search(r"\s (?:\s|\Z)| \n", text):  # a space inside a longer run of spaces, or before a line feed
-            return text, ""
-        first, space, rest = text.partition(" ")
-        return first, space + rest
-
-    def look_up(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part as little-endian unsigned 32-bit numbers."""
-        new = [p for p in parts if p not in self.known]
-        cut = {p: m.groups() for p in new if (m := _WORD.fullmatch(p))}
-        here = dict(_encoded(self.word, list({x for pair in cut.values() for x in pair if x and x not in self.known})))
-        at = [self.known, here]
-        full = {p: b"".join(at[x not in self.known][x] for x in pair if x) for p, pair in cut.items()}
-        full.update(_encoded(self.whole, [p for p in new if p not in cut]))
-        out = [self.known[p] if p in self.known else full[p] for p in parts]
-        if len(self.known) < _KNOWN:  # what came first is what comes often
-            self.known.update((p, ids) for found in (here, full) for p, ids in found.items() if len(p) <= _LONG)
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        cut = [self.split(t) for t in texts]
-        lists = pc.split_pattern(pa.array([rest[1:] if rest else None for _, rest in cut], pa.large_string()), " ")
-        flat = lists.flatten().dictionary_encode()
-        parts = [p if p[:1] == "\n" else f" {p}" for p in flat.dictionary.to_pylist()]
-        ids = self.look_up([*parts, *[first for first, _ in cut]])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begins, pool = np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(ids), "<u4")
-        # each text: its first part, then the others
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        n = len(texts)
-        order = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, ends[:-1]][:n], len(parts) + np.arange(n))
-        counts = sizes[order]
-        stops = np.cumsum(counts)
-        got = pool[np.repeat(begins[order] - (stops - counts), counts) + np.arange(stops[-1] if n else 0)]
-        return np.split(got, stops[ends + np.arange(n)][:-1]) if n else []
-
-
-#: Parts of two pieces of the file's pattern: letters, perhaps after a space, and marks.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-
-def _encoded(tokenizer, parts: list[str]):
-    for i in range(0, len(parts), _AT_ONCE):
-        some = parts[i:i + _AT_ONCE]
-        coded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(coded.ids, "<u4").tobytes()
-        cuts = (4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-        yield from ((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.plain = Tokenizer.from_file(path)
+        told = json.loads(self.plain.to_str())
+        model, cutter, added = told["model"], told["pre_tokenizer"] or {}, [t["content"] for t in told["added_tokens"]]
+        merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model.get("merges", ())]
+        standard = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+        if model["type"] != "BPE" or told["normalizer"] or not standard or merged != sorted(set(merged)):
+            raise ValueError(f"{path} is no byte-level BPE file that cuts texts by the standard pattern")
+        # bytes stand as printable characters in the file: those that are not printable follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        byte = {chr(c): b for c, b in [*zip(shown, shown), *zip(range(256, 512), hidden)]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.slow = re.compile("|".join([r"\s{1000}", *map(re.escape, added)]))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as little-endian unsigned 32-bit numbers."""
+        ids = self.plain.encode(text, add_special_tokens=False).ids if self.slow.search(text) else self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -107,10 +75,10 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches):
-        for batch in slices(batches, "_text", 2 << 20):
+        for batch in slices(batches, "_text", 4 << 20):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, coded in enumerate(encoder(path).encode(batch["_text"].to_pylist())):
-                coded = coded.tobytes() + end
+            for i, text in enumerate(batch["_text"].to_pylist()):
+                coded = encoder(path).encode(text) + end
                 n = len(coded) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -207,7 +175,7 @@ def pack(
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): the place of each piece of each document.
 
-    A document is the ids of its text by the file `tokenizer`, which every executor must have, and `end_id`. Only longer
+    A document is the ids of its text by the file `tokenizer` (see `Encoder`), which every executor must have, and `end_id`. Only longer
     ones than `capacity` are cut, into pieces of `capacity` ids of which the first may be shorter. Sequences hold
     `capacity` ids at most, without gaps from 0. A null or empty text is the end id alone; repeated rows are packed as
     often as they come; ids may be null; an empty table gives an empty result; other columns are not read."""

@@ -17,16 +17,33 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def whole(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_parts_encode_as_the_whole():
+def test_encodes_as_the_plain_call():
     rng = random.Random(5)
-    pieces = ["a", "b.", "Éc,;", "x!y", " d:?", "\ne", " ", "  ", "\n", "\t ", " \n", "É", "don't", "<|endoftext|>", "12 3", " ", "日本", ".", "\x1c", "   "]
-    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(3000)] + ["x" * 100 + " y" * 5]
-    got = [ids.tolist() for ids in packing.Encoder(PATH).encode(texts)]
-    assert got == whole(texts)
+    pieces = ["a", "b.", "Éc,;", "x!y", " d:?", "\ne", " ", "  ", "\n", "\t ", " \n", "É", "don't", "'LL", "<|endoftext|>", "<|endof", "12 3", "\xa0", "日本", ".", "\x1c", "   ", "🙂", "\x00", "²", "ʼ", "\u2028"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(3000)] + ["x" * 100 + " y" * 5, "a <|endoftext|> b", "ab" * 50_000]
+    texts += [" " * 300_000 + "x", "\n" * 5000 + " y", "x \t" * 400]
+    encoder = packing.Encoder(PATH)
+    assert [np.frombuffer(encoder.encode(x), "<u4").tolist() for x in texts] == whole(texts)
+    assert whole(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+
+
+def test_every_character_encodes_as_by_the_plain_call():
+    texts = [f"a{chr(c)}1{chr(c)}. {chr(c)}'s" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0)]
+    encoder = packing.Encoder(PATH)
+    assert [np.frombuffer(encoder.encode(x), "<u4").tolist() for x in texts] == whole(texts)
+
+
+def test_other_files_are_refused(tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.BPE(vocab={"a": 0}, merges=[]))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        packing.Encoder(str(tmp_path / "t.json"))
 
 
 @pytest.mark.parametrize("seed", range(6))
