@@ -11,6 +11,7 @@ from checks.comparisons import KEYS, or_none
 from checks.analysis import B7
 from checks.registry import query
 from checks.scans import scratch
+from tablematch.operators import history as hs
 from tablematch.operators import metrics as mt
 from tablematch.operators import report as rp
 from tablematch.operators import search as se
@@ -71,6 +72,23 @@ def snk2(spark, sf_dir):
     return diff.select(F.col("key")["order_no"].alias("order_no"), "status", F.size("changed_columns").cast("long").alias("changed"))
 
 
+@query("A27_intervals", B7 + f""", keys AS (SELECT DISTINCT order_no FROM snap), g AS (SELECT k.order_no, x.version, s.amount FROM keys k CROSS JOIN range(4) x(version)
+  LEFT JOIN snap s ON s.order_no = k.order_no AND s.version = x.version),
+  e AS (SELECT *, CASE WHEN lag(amount) OVER w IS DISTINCT FROM amount THEN 1 ELSE 0 END AS begins FROM g WINDOW w AS (PARTITION BY order_no ORDER BY version)),
+  i AS (SELECT *, sum(begins) OVER (PARTITION BY order_no ORDER BY version) AS run FROM e),
+  r AS (SELECT order_no, run, min(version) AS valid_from, max(version) + 1 AS valid_to, any_value(amount) AS value FROM i GROUP BY ALL),
+  h AS (SELECT order_no FROM (SELECT order_no, {fx.sql_canon('amount')} AS canon FROM snap) GROUP BY 1 HAVING count(DISTINCT canon) > 1)
+  SELECT order_no AS row_key, 'amount' AS column_name, CAST(valid_from AS INT) AS valid_from, CAST(CASE WHEN valid_to < 4 THEN valid_to END AS INT) AS valid_to, value
+  FROM r WHERE value IS NOT NULL AND order_no IN (SELECT order_no FROM h)""")
+def a27_intervals(spark, sf_dir):
+    """The history of a stored chain from its changes, two of three runs compacted."""
+    store = chain(spark, sf_dir, 2)
+    store.compact_changes("s1")
+    at = AT + datetime.timedelta(days=3)
+    store_version(store, "s1", fx.b1_target(spark, sf_dir, 3), "orders-3.csv", at, data_type="master", similar=False)
+    return hs.value_intervals(store.changes("s1")).drop("series_id", "changed")
+
+
 @query("W5_previous_version", "SELECT * FROM (VALUES (0, -1), (1, 0), (2, 1)) t(version, previous_version), (SELECT count(*) AS n FROM orders)")
 def w5(spark, sf_dir):
     versions = chain(spark, sf_dir, 2).versions()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tablematch.operators.cells import Layout, as_records
 from tablematch.operators.clean import data_columns
-from tablematch.operators.history import snapshot
+from tablematch.operators.history import CHANGE_SCHEMA, changes_between, snapshot
 
 VERSION_SCHEMA = """series_id string, version int, name string, label string, filename string, created_at timestamp,
     uploaded_at timestamp, row_count long, column_count int, key_columns array<string>, data_type string, added long,
@@ -143,6 +143,48 @@ class VersionStore:
         """One sheet of a stored report, by the report's name in the catalogue (`report_file`)."""
         return self.spark.read.parquet(f"{self.report_path(name)}/{sheet}")
 
+    def write_changes(self, series_id: str, version: int) -> None:
+        """Store which cells of the snapshot of `version` differ from the one before, as a run of its own."""
+        mine = self.snapshots().where(F.col("series_id") == series_id)
+        changes = changes_between(mine.where(F.col("version") == version - 1), mine.where(F.col("version") == version))
+        changes.drop("series_id").write.mode("overwrite").parquet(f"{self._runs(series_id)}/first={version}/last={version}")
+
+    def _runs(self, series_id: str) -> str:
+        return f"{self.root}/changes/series_id={series_id}"
+
+    def runs(self, series_id: str) -> list[tuple[int, int]]:
+        """(first, last) version of the runs that hold the changes of a series: the longest from each version on."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._runs(series_id))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "first=*/last=*/_SUCCESS")) or []]
+        spans = {}
+        for p in found:
+            first, last = (int(x.getName().partition("=")[2]) for x in (p.getParent().getParent(), p.getParent()))
+            spans[first] = max(last, spans.get(first, last))
+        out, at = [], 0
+        for first in sorted(spans):
+            if first > at:
+                out.append((first, spans[first]))
+                at = spans[first]
+        return out
+
+    def changes(self, series_id: str, up_to: int | None = None) -> DataFrame:
+        """The stored changes of a series; only its runs are read, whatever the number of its rows."""
+        paths = [f"{self._runs(series_id)}/first={a}/last={b}" for a, b in self.runs(series_id) if up_to is None or a <= up_to]
+        if not paths:
+            return self.spark.createDataFrame([], CHANGE_SCHEMA)
+        fields = CHANGE_SCHEMA.replace("series_id string, ", "")
+        rows = self.spark.read.schema(fields).parquet(*paths).select(F.lit(series_id).alias("series_id"), "*")
+        return rows if up_to is None else rows.where(F.col("version") <= up_to)
+
+    def compact_changes(self, series_id: str) -> None:
+        """Write the runs of a series as one, in order of row and column. It counts as soon as it is whole; the runs it is
+        made of stay behind it and are not read any more."""
+        runs = self.runs(series_id)
+        if len(runs) > 1:
+            rows = self.changes(series_id).drop("series_id").repartitionByRange("row_key", "column_name").sortWithinPartitions("row_key", "column_name", "version")
+            rows.write.mode("overwrite").parquet(f"{self._runs(series_id)}/first={runs[0][0]}/last={runs[-1][1]}")
+
     def snapshots(self) -> DataFrame:
         return _read(self.spark, f"{self.root}/snapshots", SNAPSHOT_SCHEMA)
 

@@ -83,6 +83,8 @@ def store_version(
         # the predecessor's snapshot is missing (baseline) or was keyed otherwise
         store.write_snapshot(result.source, result.layout.keys, series_id, version - 1)
     store.write_snapshot(result.target, result.layout.keys, series_id, version)
+    if against is None:
+        store.write_changes(series_id, version)
     named = f"{series_id}_v{version}" if report else None
     if named:
         labels = before["label"] if before else "Source", entry["label"]
