@@ -18,6 +18,7 @@ from tablematch.operators import search as se
 from tablematch.operators.align import align
 from tablematch.sources import catalog as ct
 from tablematch.sources import readers as rd
+from tablematch.streaming import keyed as kd
 from tablematch.streaming.compare import compare, follow, follow_against, store_version
 
 AT = datetime.datetime(2000, 1, 1)
@@ -191,6 +192,28 @@ def t2(spark, sf_dir):
     return ct.series_timeline(store.versions(), "s1").select("version", "added", "deleted", "updated", "format_issues")
 
 
+@query("T2_keyed_state", _steps(2) + """SELECT 0 AS version, order_no AS row_key, 'Added' AS status FROM b1s
+UNION ALL SELECT DISTINCT 1, order_no, CASE WHEN nv > 0 THEN 'Updated' WHEN status IN ('Added', 'Deleted') THEN status ELSE 'Matched' END FROM c1_rows
+UNION ALL SELECT DISTINCT 2, order_no, CASE WHEN nv > 0 THEN 'Updated' WHEN status IN ('Added', 'Deleted') THEN status ELSE 'Matched' END FROM c2_rows""", long="version")
+def t2_keyed(spark, sf_dir):
+    """The same chain row by row: fingerprints in keyed state instead of the version before, markers that end a version."""
+    inbox, results, progress = (scratch(spark, x) for x in ("inbox", "results", "progress"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, kd.STATE_STORE)
+    try:
+        for v in range(3):
+            table = (fx.b1_source(spark, sf_dir) if v == 0 else fx.b1_target(spark, sf_dir, v)).drop("_rid").withColumn("version", F.lit(v).cast("long"))
+            marker = spark.createDataFrame([(None, None, None, None, None, v)], table.schema)
+            _arrive(table.unionByName(marker), inbox, v)
+            stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", True).parquet(inbox)
+            judged = kd.judge_arrivals(stream, KEYS, buckets=8).writeStream.format("parquet").option("checkpointLocation", progress).option("path", results)
+            judged.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(kd.CHANGES).parquet(results).select("version", "row_key", "status")
+
+
 @query("T2_several_arrivals", _steps(2) + "SELECT version, label, added, deleted, updated, format_issues FROM (SELECT version, 'Day ' || version AS label, added, deleted, updated, format_issues FROM ver) UNION ALL SELECT 0, 'Source', 0, 0, 0, 0")
 def t2_arrivals(spark, sf_dir):
     """Three arrivals in one micro-batch are three versions, in order of arrival."""
