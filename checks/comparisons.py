@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks import fixtures as fx
 from checks.registry import query
+from checks.scans import scratch
 from tablematch.operators import ledger as lg
+from tablematch.operators import ledger_run as lr
 from tablematch.operators.cells import changed_columns, layout_of
 from tablematch.operators.clean import data_columns, normalize
 from tablematch.operators.lines import compare_lines, find_hot_keys, identical_lines, invoice_summary, leftover_lines
 from tablematch.operators.master import compare_master, duplicates, inner_pairs, missing
 from tablematch.plans.skew import first_rows
+from tablematch.sources.readers import read_grid
 
 KEYS = ["order_no"]
 
@@ -137,6 +140,41 @@ def c4_rows(spark, sf_dir):
     )
 
 
+_PAGES = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{b}' AS bucket, count(*) OVER () AS total, row_number() OVER (ORDER BY coalesce(ns, nt), ty, st, nt NULLS FIRST) AS place, ns, nt, ty, sa, ta FROM g WHERE st IN {s}) WHERE place <= 25"""
+    for b, s in (("matched", "('Matched')"), ("disputed", "('Amount Mismatch')"), ("unmatched_source", "('Only In Source')"),
+                 ("unmatched_target", "('Only In Target')"), ("tier2_rows", "('Tier2 Match', 'Tier2 Amount Mismatch')"))
+)
+
+
+@query("C4_grids_to_pages", fx.B2 + f""", p AS ({_PAGES}),
+  ds AS (SELECT count(*) AS n FROM s JOIN sg ON s.num = sg.num AND s.ty = sg.ty WHERE sg.n > 1), dt AS (SELECT count(*) AS n FROM t JOIN tg ON t.num = tg.num AND t.ty = tg.ty WHERE tg.n > 1)
+  SELECT bucket, total, place, ns AS number_source, nt AS number_target, ty AS type, sa AS amount_source, ta AS amount_target FROM p
+  UNION ALL SELECT 'duplicate_source_rows', n, 0, NULL, NULL, NULL, NULL, NULL FROM ds UNION ALL SELECT 'duplicate_target_rows', n, 0, NULL, NULL, NULL, NULL, NULL FROM dt
+  UNION ALL SELECT 'source_exceptions', 0, 0, NULL, NULL, NULL, NULL, NULL UNION ALL SELECT 'target_exceptions', 0, 0, NULL, NULL, NULL, NULL, NULL""",
+       long="total place", double="amount_source amount_target")
+def c4_grids(spark, sf_dir):
+    """Two files with a banner and headers of their own, through headers, mapping and comparison, to nine buckets and first pages."""
+    grids = []
+    for side, rows, names in (("s", fx.b2_source, ["Invoice No", "Type", "Invoice Date", "Total Amount", "Customer Name"]), ("t", fx.b2_target, ["Document Number", "Doc Type", "Date", "Amount", "Client"])):
+        path = scratch(spark, f"ledger-{side}")
+        body = rows(spark, sf_dir).drop("_rid").select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(["TxnNumber", "TxnType", "TxnDate", "Amount", "Customer"])], F.lit(2).alias("at"))
+        head = spark.createDataFrame([("Ledger export", "", "", "", "", 0), (*names, 1)], body.schema)
+        head.unionByName(body).orderBy("at").drop("at").write.csv(path)
+        grids.append(read_grid(spark, path))
+    run = lr.compare_grids(*grids)
+    out = run.totals().where(~F.col("bucket").isin(*lr.STATUSES)).select("bucket", "total", F.lit(0).cast("long").alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in _PAGE])
+    for bucket in lr.STATUSES:
+        page = run.page(bucket, page=1, page_size=25)
+        place = F.row_number().over(Window.partitionBy(F.lit(bucket)).orderBy("_rid")).cast("long")  # the 25 rows of a page
+        rows = page.items.withColumns({"bucket": F.lit(bucket), "total": F.lit(page.total).cast("long"), "place": place})
+        out = out.union(rows.select("bucket", "total", "place", "TxnNumber_Source", "TxnNumber_Target", "TxnType", F.col("Amount_Source").cast("double"), F.col("Amount_Target").cast("double")))
+    return out
+
+
+_PAGE = [("number_source", "string"), ("number_target", "string"), ("type", "string"), ("amount_source", "double"), ("amount_target", "double")]
+
+
 @query(
     "J4_tier2",
     fx.B2 + """SELECT ns AS "TxnNumber_Source", nt AS "TxnNumber_Target", ty AS "TxnType", st AS "MatchStatus" FROM tier2""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from checks.comparisons import KEYS, or_none
-from checks.analysis import B7
+from checks.analysis import B7, ROWS, row_tables
 from checks.registry import query
 from checks.scans import scratch
 from tablematch.operators import history as hs
@@ -19,7 +19,7 @@ from tablematch.operators.align import align
 from tablematch.sources import catalog as ct
 from tablematch.sources import readers as rd
 from tablematch.streaming import keyed as kd
-from tablematch.streaming.compare import compare, follow, follow_against, store_version
+from tablematch.streaming.compare import compare, compare_rows, follow, follow_against, store_version
 
 AT = datetime.datetime(2000, 1, 1)
 
@@ -174,6 +174,24 @@ def snk7(spark, sf_dir):
     return align(source, target, {r.source_column: r.target_column for r in profile}).withColumn("version", F.lit(profile[0].version))
 
 
+@query("SNK7_row_profile", ROWS + """, m AS (SELECT count(*) FILTER (k % 7 <> 0) AS mapped, count(*) AS n FROM o), bad AS (SELECT count(DISTINCT source_rid) AS n FROM x)
+  SELECT 'total_source_rows' AS metric, n AS value FROM m UNION ALL SELECT 'total_target_rows', n FROM m UNION ALL SELECT 'mapped_pairs_count', mapped FROM m
+  UNION ALL SELECT 'mismatched_pairs_count', n FROM bad UNION ALL SELECT 'matched_pairs_count', mapped - bad.n FROM m, bad
+  UNION ALL SELECT 'unmapped_source_count', n - mapped FROM m UNION ALL SELECT 'unmapped_target_count', n - mapped FROM m
+  UNION ALL SELECT 'differences', count(*) FROM x UNION ALL SELECT 'version', 2""")
+def snk7_rows(spark, sf_dir):
+    """Row pairs stored as a profile, in a second version, and replayed on the two tables (row-index mode)."""
+    path = scratch(spark, "profiles")
+    source, target, pairs = row_tables(spark, sf_dir)
+    ct.save_row_pairs(pairs.where("source_rid % 2 = 0"), path, "rows")
+    ct.save_row_pairs(pairs, path, "rows")
+    profile = ct.load_profile(spark, path, "rows")
+    compared, summary = compare_rows(source, target, ct.row_pairs(profile))
+    found = compared.agg(F.sum(F.size("differences")).cast("long").alias("value")).select(F.lit("differences").alias("metric"), "value")
+    version = profile.agg(F.max("version").cast("long").alias("value")).select(F.lit("version").alias("metric"), "value")
+    return summary.unionByName(found).unionByName(version)
+
+
 def _arrive(df, folder: str, part: int) -> None:
     df.coalesce(1).write.mode("append").parquet(f"{folder}/part={part}")
 

@@ -78,6 +78,25 @@ def save_profile(spark: SparkSession, path: str, profile_id: str, mode: str, ite
     return version
 
 
+def save_row_pairs(pairs: DataFrame, path: str, profile_id: str) -> int:
+    """Save row pairs (source_rid, target_rid) of any number under a name; saving again adds the next version."""
+    stored = _read(pairs.sparkSession, path, PROFILE_SCHEMA).where(F.col("profile_id") == profile_id)
+    version = (stored.agg(F.max("version").alias("v")).first()["v"] or 0) + 1
+    none = F.lit(None)
+    rows = pairs.select(
+        F.lit(profile_id).alias("profile_id"), F.lit(version).alias("version"), F.lit("ROW_INDEX").alias("mode"), none.cast("string").alias("source_column"),
+        none.cast("string").alias("target_column"), F.lit(1.0).alias("confidence"), F.lit(False).alias("is_key"),
+        F.col("source_rid").cast("long").alias("source_index"), F.col("target_rid").cast("long").alias("target_index"),
+    )
+    replace_partitions(rows, path, "profile_id", "version")
+    return version
+
+
+def row_pairs(profile: DataFrame) -> DataFrame:
+    """(source_rid, target_rid) of a loaded profile of row pairs."""
+    return profile.where("mode = 'ROW_INDEX'").select(F.col("source_index").alias("source_rid"), F.col("target_index").alias("target_rid"))
+
+
 def load_profile(spark: SparkSession, path: str, profile_id: str) -> DataFrame:
     """Latest version of a mapping."""
     mine = _read(spark, path, PROFILE_SCHEMA).where(F.col("profile_id") == profile_id)

@@ -16,6 +16,7 @@ from tablematch.operators.lines import compare_lines
 from tablematch.operators.master import Comparison, compare_master
 from tablematch.operators.profile import detect_date_column, guess_key_columns, resolve_data_type
 from tablematch.operators.report import sheets, write_sheets
+from tablematch.operators.rowpairs import compare_row_pairs, pair_errors, pair_summary
 from tablematch.plans.skew import durable
 from tablematch.sources.catalog import VersionStore
 
@@ -36,6 +37,19 @@ def compare(
     return compare_master(source, target, keys, date, similar, settings)
 
 
+def compare_rows(source: DataFrame, target: DataFrame, pairs: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """Row-index mode: two tables with ordinals by given row pairs (source_rid, target_rid), as a saved profile holds them
+    (`row_pairs`). Returns the compared pairs and the summary; pairs that cannot be are an error that tells the first ones."""
+    source, target = normalize(source), normalize(target)
+    if pairs.isEmpty():
+        raise ValueError("no row pairs are given")
+    wrong = pair_errors(pairs, source, target).orderBy("source_rid", "target_rid", "error").limit(10).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r.source_rid}, {r.target_rid}: {r.error}" for r in wrong))
+    compared = durable(compare_row_pairs(source, target, pairs, settings))
+    return compared, pair_summary(source, target, pairs, compared)
+
+
 def store_version(
     store: VersionStore, series_id: str, df: DataFrame, filename: str, at, keys: list[str] | None = None, data_type: str = "auto",
     label: str | None = None, mapping: dict[str, str] | None = None, batch_id: int | None = None, name: str | None = None,

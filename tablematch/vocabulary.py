@@ -27,10 +27,10 @@ def _ends(stems: tuple, endings: tuple) -> list[str]:
 def default_vocabulary() -> dict[str, dict[str, list[str]]]:
     return {
         "transactional": {
-            "TxnNumber": _ends(_DOCUMENTS, ("number", "no", "id")) + ["reference", "ref", "number", "no", "id"],
+            "TxnNumber": _ends(_DOCUMENTS, ("number", "no", "id")) + ["reference", "ref", "refno", "refnumber", "referencenumber", "invoice", "number", "no", "id"],
             "TxnType": _ends(_DOCUMENTS, ("type",)) + ["type", "category"],
-            "TxnDate": _ends(_DOCUMENTS, ("date",)) + ["date", "postingdate"],
-            "Amount": _ends(_DOCUMENTS, ("amount", "total")) + ["amount", "total", "balance", "value"],
+            "TxnDate": _ends(_DOCUMENTS, ("date",)) + ["date", "postingdate", "issuedate", "entrydate"],
+            "Amount": _ends(_DOCUMENTS, ("amount", "total")) + ["amount", "total", "balance", "value", "totalamount", "grandtotal", "amountdue", "balancedue", "openbalance", "openamount", "netamount"],
             "Customer": _ends(_PARTIES, ("name", "")) + ["name", "company"],
             "PONumber": ["ponumber", "pono", "po", "purchaseorder"],
             "DueDate": ["duedate", "paymentduedate", "due"],
