@@ -348,8 +348,8 @@ def a11(spark, sf_dir):
 
 
 @query("A21_churn", BUCKETS + """, t AS (SELECT missing_in_source + missing_in_target + mismatches + duplicates_source + duplicates_target AS touched, greatest(source_record_count, target_record_count) AS n FROM b)
-  SELECT touched, round(100.0 * touched / n, 1) AS churn_percent, CASE WHEN 100.0 * touched / n < 5 THEN 'barely any changes' WHEN 100.0 * touched / n < 15 THEN 'a few routine changes'
-  WHEN 100.0 * touched / n < 35 THEN 'a moderate amount of change' ELSE 'a lot of change' END AS churn_label FROM t""")
+  SELECT touched, round(100.0 * touched / n, 1) AS churn_percent, CASE WHEN 100.0 * touched / n < 5 THEN 'very few changes' WHEN 100.0 * touched / n < 15 THEN 'few changes'
+  WHEN 100.0 * touched / n < 35 THEN 'some changes' ELSE 'many changes' END AS churn_label FROM t""")
 def a21(spark, sf_dir):
     return ins.churn(ins.bucket_counts(b1_comparison(spark, sf_dir))).select("touched", "churn_percent", "churn_label")
 
@@ -430,14 +430,14 @@ def a20_busiest(spark, sf_dir):
   p AS (SELECT *, round(100.0 * (de + ad + up + ds + dt) / greatest(ns, nt), 1) AS pct FROM b), c AS (SELECT count(*) AS n FROM cells),
   ev AS (SELECT d AS day FROM rows WHERE status IN ('Added', 'Deleted') UNION ALL SELECT d FROM rows WHERE nv > 0 UNION ALL SELECT d FROM rows WHERE nf > 0 UNION ALL SELECT d FROM dups WHERE n > 1 UNION ALL SELECT d FROM dupt WHERE n > 1),
   busy AS (SELECT day FROM ev WHERE day <= '2100-01-01' GROUP BY 1 ORDER BY count(*) DESC, day LIMIT 1)
-  SELECT 0 AS pos, 'Comparing Source (' || ns || ' rows) to Target (' || nt || ' rows), matched by order_no: about ' || CAST(pct AS VARCHAR) || '% of rows changed in some way — ' ||
-    CASE WHEN pct < 5 THEN 'barely any changes' WHEN pct < 15 THEN 'a few routine changes' WHEN pct < 35 THEN 'a moderate amount of change' ELSE 'a lot of change' END || '.' AS sentence FROM p
-  UNION ALL SELECT 1, ad || ' new records showed up, ' || de || ' records went missing, ' || up || ' existing records had something change.' FROM p
-  UNION ALL SELECT 2, 'Some order_no values show up more than once: ' || dt || ' in Target — worth checking these should really be unique.' FROM p
-  UNION ALL SELECT 3, 'Most of the changes happened in one place: the ''amount'' column changed ' || n || ' times.' FROM c
-  UNION ALL SELECT 4, 'The numbers in ''amount'' generally increased in Target, by about 10.0 on average.'
-  UNION ALL SELECT 5, fo || ' values only look different because of formatting (spacing, capitalization, or how a number is written) — the actual data didn''t change.' FROM p
-  UNION ALL SELECT 6, 'The busiest day was ' || day || ', with more changes than any other day — see the chart below.' FROM busy""", long="pos")
+  SELECT 0 AS pos, 'Source: ' || ns || ' rows, Target: ' || nt || ' rows, paired by order_no. ' || CAST(pct AS VARCHAR) || '% of the rows differ (' ||
+    CASE WHEN pct < 5 THEN 'very few changes' WHEN pct < 15 THEN 'few changes' WHEN pct < 35 THEN 'some changes' ELSE 'many changes' END || ').' AS sentence FROM p
+  UNION ALL SELECT 1, 'Records: ' || ad || ' only in Target, ' || de || ' only in Source, ' || up || ' with other values.' FROM p
+  UNION ALL SELECT 2, 'Rows that share their order_no with another row: ' || dt || ' in Target.' FROM p
+  UNION ALL SELECT 3, 'Changed cells lie mainly in ''amount'' (' || n || ').' FROM c
+  UNION ALL SELECT 4, 'Mean change of ''amount'': 10.0 (increased in Target).'
+  UNION ALL SELECT 5, 'Written otherwise but equal in value: ' || fo || ' records.' FROM p
+  UNION ALL SELECT 6, 'Day with most changes: ' || day || '.' FROM busy""", long="pos")
 def a22(spark, sf_dir):
     c = b1_comparison(spark, sf_dir)
     c.rows = durable(c.rows)

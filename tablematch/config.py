@@ -34,13 +34,14 @@ class Settings:
     top_rows: int = 100_000
     # text chunks
     chunk_chars: int = 800
-    # churn labels: percent below -> label
+    # Percent below which a churn label holds; the labels are free
     churn_steps: tuple = (
-        (5, "barely any changes"),
-        (15, "a few routine changes"),
-        (35, "a moderate amount of change"),
+        (5, "very few changes"),
+        (15, "few changes"),
+        (35, "some changes"),
     )
-    churn_last: str = "a lot of change"
+    churn_last: str = "many changes"
+    # Weights of the eight signals of a column pair
     signal_weights: dict = field(
         default_factory=lambda: {
             "header_similarity": 0.25,
@@ -55,8 +56,6 @@ class Settings:
     )
     # scale: a group above this many rows is ranked in slices of this many rows
     hot_group_rows: int = 1_000_000
-    # and no more than this many groups are ever treated that way, whatever the table size
-    hot_groups_max: int = 200_000
     # accuracy of medians (relative rank error is 1 / accuracy)
     median_accuracy: int = 100_000
 

@@ -229,60 +229,55 @@ def narrative(
     }.items()}
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
-    # The wording of the sentences.
     headline = text(
-        f"Comparing {before} (", F.col("source_record_count"), f" rows) to {after} (", F.col("target_record_count"),
-        f" rows), matched by {keys}: about ", F.col("churn_percent"), "% of rows changed in some way — ", F.col("churn_label"), ".",
+        f"{before}: ", F.col("source_record_count"), f" rows, {after}: ", F.col("target_record_count"), f" rows, paired by {keys}. ",
+        F.col("churn_percent"), "% of the rows differ (", F.col("churn_label"), ").",
     )
     bits = F.array_compact(F.array(
-        F.when(n["added"] > 0, text(n["added"], " new record", _plural(n["added"], "", "s"), " showed up")),
-        F.when(n["deleted"] > 0, text(n["deleted"], " record", _plural(n["deleted"], "", "s"), " went missing")),
-        F.when(n["updated"] > 0, text(n["updated"], " existing record", _plural(n["updated"], "", "s"), " had something change")),
+        F.when(n["added"] > 0, text(n["added"], f" only in {after}")),
+        F.when(n["deleted"] > 0, text(n["deleted"], f" only in {before}")),
+        F.when(n["updated"] > 0, text(n["updated"], " with other values")),
     ))
-    changes = F.when(F.size(bits) > 0, F.concat(F.array_join(bits, ", "), F.lit("."))).otherwise(
-        F.lit(f"No records were added or removed — {after} has exactly the same rows as {before}.")
+    changes = F.when(F.size(bits) > 0, F.concat(F.lit("Records: "), F.array_join(bits, ", "), F.lit("."))).otherwise(
+        F.lit(f"Records: the same in {before} and {after}.")
     )
     renames = F.when(n["renamed"] > 0, text(
-        n["renamed"], " record", _plural(n["renamed"], "", "s"), " look", _plural(n["renamed"], "s", ""),
-        " like a rename rather than a delete-and-re-add — the name changed, but the rest of the row was similar enough to treat it as the same record.",
+        "Renamed: ", n["renamed"], " record", _plural(n["renamed"], "", "s"), ", paired by similar key texts.",
     ))
     twice = F.array_compact(F.array(
         F.when(n["dup_s"] > 0, text(n["dup_s"], f" in {before}")), F.when(n["dup_t"] > 0, text(n["dup_t"], f" in {after}"))
     ))
     dups = F.when(F.size(twice) > 0, text(
-        f"Some {keys} values show up more than once: ", F.array_join(twice, " and "), " — worth checking these should really be unique.",
+        f"Rows that share their {keys} with another row: ", F.array_join(twice, ", "), ".",
     ))
     lead = F.try_element_at("columns", F.lit(1))
     everything = F.aggregate("columns", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     shape = F.try_element_at(F.filter("groups", lambda g: g["column_name"] == lead["column_name"]), F.lit(1))["shape"]
     one_place = text(
-        "Most of the changes happened in one place: the '", lead["column_name"], "' column changed ", lead["n"], " times",
-        F.coalesce(text(" — most of the time it was ", shape), F.lit("")), ".",
+        "Changed cells lie mainly in '", lead["column_name"], "' (", lead["n"], ")", F.coalesce(text(", mostly ", shape), F.lit("")), ".",
     )
     names = F.array_join(F.transform(F.slice("columns", 1, 3), lambda c: F.concat(F.lit("'"), c["column_name"], F.lit("'"))), ", ")
-    spread = text("The changes are spread across a few different columns, most often ", names, ".")
+    spread = text("Changed cells lie in several columns, first of all in ", names, ".")
     columns = F.when(F.size("columns") > 0, F.when(percent(lead["n"], everything) >= 40, one_place).otherwise(spread))
     others = F.filter("groups", lambda g, i: (g["column_name"] != F.coalesce(lead["column_name"], F.lit(""))) & (g["n"] >= 3))
     firsts = F.filter(others, lambda g, i: F.array_position(F.transform(others, lambda x: x["column_name"]), g["column_name"]) == i + 1)
     more = F.transform(F.slice(firsts, 1, 2), lambda g: F.concat(
-        F.lit("'"), g["column_name"], F.lit("' also changed several times ("), g["n"].cast("string"), F.lit(") — mostly "), g["shape"], F.lit(".")
+        F.lit("Further changes in '"), g["column_name"], F.lit("': "), g["n"].cast("string"), F.lit(", mostly "), g["shape"], F.lit(".")
     ))
     clear = F.filter(F.slice("trends", 1, 3), lambda t: t["direction"] != "moved in both directions")
     trends = F.transform(clear, lambda t: F.concat(
-        F.lit("The numbers in '"), t["column_name"], F.lit("' generally "), t["direction"], F.lit(f" in {after}, by about "),
-        F.abs(t["avg_change"]).cast("string"), F.lit(" on average."),
+        F.lit("Mean change of '"), t["column_name"], F.lit("': "), F.abs(t["avg_change"]).cast("string"), F.lit(" ("), t["direction"], F.lit(f" in {after})."),
     ))
     formats = F.when(n["formats"] > 0, text(
-        n["formats"], " value", _plural(n["formats"], "", "s"),
-        " only look different because of formatting (spacing, capitalization, or how a number is written) — the actual data didn't change.",
+        "Written otherwise but equal in value: ", n["formats"], " record", _plural(n["formats"], "", "s"), ".",
     ))
     busy = F.when(F.col("busiest_day").isNotNull(), text(
-        "The busiest day was ", F.col("busiest_day"), ", with more changes than any other day — see the chart below."
+        "Day with most changes: ", F.col("busiest_day"), "."
     ))
-    undated = F.when(F.col("has_undated"), F.lit("Some rows didn't have a usable date, so they're grouped under 'Undated'."))
+    undated = F.when(F.col("has_undated"), F.lit("Rows without a readable date count as 'Undated'."))
     full = F.array_compact(F.concat(
         F.array(headline, changes, renames, dups, columns), more, trends, F.array(formats, busy, undated)
     ))
-    same = F.array(F.lit(f"{before} and {after} match exactly on the records ({keys}) compared — nothing was added, removed, or changed."))
+    same = F.array(F.lit(f"{before} and {after} agree on every record (paired by {keys})."))
     sentences = F.when((F.col("touched") == 0) & (n["renamed"] == 0), same).otherwise(full)
     return facts.select(F.posexplode(sentences).alias("pos", "sentence"))

@@ -51,11 +51,10 @@ def release(*tables: DataFrame) -> None:
 
 
 def hot_groups(df: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """Hashes (`_hot`) of the groups too large for one task. A group is hot above `hot_group_rows` rows and above
-    rows / `hot_groups_max`, so there are never more than `hot_groups_max` of them, whatever the table size."""
+    """Hashes (`_hot`) of the groups too large for one task: those above `hot_group_rows` rows, so that there are at most as
+    many as the table has that many rows."""
     sizes = df.groupBy(F.xxhash64(*keys).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
-    floor = sizes.agg(F.sum("_n")).scalar() / F.lit(settings.hot_groups_max)
-    return sizes.where((F.col("_n") > settings.hot_group_rows) & (F.col("_n") > floor)).select("_hot")
+    return sizes.where(F.col("_n") > settings.hot_group_rows).select("_hot")
 
 
 def find_hot(df: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame | None:
@@ -73,12 +72,10 @@ def ranked(
 
     Same result as row_number() over the group. A hot group (see `find_hot`, taken over `hot_by`, a subset of the
     keys) is cut into slices of consecutive `order` values, ranked slice by slice in separate tasks, and shifted by
-    the number of rows in earlier slices.
+    the number of rows in earlier slices. How the list of hot groups is joined is left to its real size.
     """
     if hot is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
-    # at most hot_groups_max rows of 8 bytes, by construction
-    hot = F.broadcast(hot)
     sliced = (
         df.withColumn("_group", F.xxhash64(*(hot_by or keys)))
         .join(hot, F.col("_group") == F.col("_hot"), "left")

@@ -90,7 +90,7 @@ def test_same_table_only_matches(spark):
     assert {r.status for r in compare_lines(s, s, ["k"]).rows.collect()} == {"Matched"}
     m = compare_master(s, s, ["k"])
     assert {r.status for r in m.rows.collect()} == {"Matched"}
-    assert narrative(m, day_summary(m, "2030-01-01")).first().sentence.startswith("Comparing")
+    assert narrative(m, day_summary(m, "2030-01-01")).first().sentence.startswith("Source: ")
 
 
 # ---- lines --------------------------------------------------------------------------------------------------------

@@ -33,10 +33,10 @@ def test_ranked_slices_hot_groups(spark):
     assert got == want
 
 
-def test_no_more_hot_groups_than_allowed(spark):
+def test_hot_groups_by_their_own_size(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"), F.col("id").alias("_rid"))
-    assert find_hot(df, ["k"], replace(SMALL, hot_groups_max=5)) is None
-    assert find_hot(df, ["k"], replace(SMALL, hot_groups_max=11)).count() == 10
+    assert find_hot(df, ["k"], replace(SMALL, hot_group_rows=100)) is None
+    assert find_hot(df, ["k"], replace(SMALL, hot_group_rows=99)).count() == 10
 
 
 def test_first_rows_limit_before_shuffle(spark):
