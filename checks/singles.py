@@ -82,8 +82,8 @@ def u1(spark, sf_dir):
 
 @query("U2_union_of_days", fx.B1 + "SELECT DISTINCT d AS day FROM (SELECT d FROM b1s UNION ALL SELECT d FROM b1t)")
 def u2(spark, sf_dir):
-    s, t = b1(spark, sf_dir)
-    return s.select(F.col("d").alias("day")).union(t.select("d")).distinct()
+    """The days of both tables, as the summary by day lists them."""
+    return dy.day_summary(b1_comparison(spark, sf_dir), "2100-01-01").select("day").distinct()
 
 
 @query("U3_key_intersection", fx.B2 + "SELECT stem, ty FROM o2 WHERE st = 'Only In Source' INTERSECT SELECT stem, ty FROM o2 WHERE st = 'Only In Target'")
@@ -156,17 +156,24 @@ def s13(spark, sf_dir):
 @query("S14_validators", """SELECT 'date' AS kind, round(avg(CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END), 6) AS share FROM (SELECT o_orderkey AS k FROM orders)
   UNION ALL SELECT 'email', round(avg(CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END), 6) FROM (SELECT o_orderkey AS k FROM orders)
   UNION ALL SELECT 'phone', round(avg(CASE WHEN k % 4 IN (0, 2) THEN 1 ELSE 0 END), 6) FROM (SELECT o_orderkey AS k FROM orders)
-  UNION ALL SELECT 'currency', round(avg(CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END), 6) FROM (SELECT o_orderkey AS k FROM orders)""")
+  UNION ALL SELECT 'currency', round(avg(CASE WHEN k % 4 = 3 THEN 1 ELSE 0 END), 6) FROM (SELECT o_orderkey AS k FROM orders)
+  UNION ALL SELECT 'numeric', round(avg(CASE WHEN k % 4 IN (1, 2) THEN 1 ELSE 0 END), 6) FROM (SELECT o_orderkey AS k FROM orders)
+  UNION ALL SELECT 'identifier', 0.0 UNION ALL SELECT 'identifier of keys', round(count(DISTINCT k // 20 * 20 + greatest(k % 20, 1)) / count(*), 6) FROM (SELECT o_orderkey AS k FROM orders)
+  UNION ALL SELECT 'identifier of names', 0.0""", double="share")
 def s14(spark, sf_dir):
+    """All six validators on a column of four kinds of texts; keys of which one in twenty comes twice; names with blanks."""
     k = F.col("o_orderkey") % 4
     t = (
         F.when(k == 0, F.col("o_orderdate").cast("date").cast("string")).when(k == 1, F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit("@x.org")))
         .when(k == 2, F.concat(F.lit("+49 (30) "), F.lpad(F.col("o_orderkey").cast("string"), 8, "1"))).otherwise("EUR")
     )
+    key = F.concat(F.lit("K-"), (F.floor(F.col("o_orderkey") / 20) * 20 + F.greatest(F.col("o_orderkey") % 20, F.lit(1))).cast("string"))
     scores = vd.validator_scores(F.col("t"))
-    kinds = ["date", "email", "phone", "currency"]
-    wide = fx.table(spark, sf_dir, "orders").select(t.alias("t")).agg(*[F.round(scores[c], 6).alias(c) for c in kinds])
-    return wide.unpivot([], kinds, "kind", "share")
+    shares = {c: scores[c] for c in ("date", "email", "phone", "currency", "numeric", "identifier")}
+    shares |= {"identifier of keys": vd.validator_scores(F.col("key"))["identifier"], "identifier of names": vd.validator_scores(F.col("name"))["identifier"]}
+    rows = fx.table(spark, sf_dir, "orders").select(t.alias("t"), key.alias("key"), F.concat(F.lit("order "), key).alias("name"))
+    wide = rows.agg(*[F.round(v, 6).alias(c) for c, v in shares.items()])
+    return wide.unpivot([], list(shares), "kind", "share")
 
 
 @query("S18_percent", "SELECT l_orderkey, round(100.0 * count(*) FILTER (l_returnflag = 'R') / count(*), 1) AS share FROM lineitem GROUP BY 1")
