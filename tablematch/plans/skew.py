@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -13,8 +14,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def work_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: `spark.checkpoint.dir` as the cluster names it, or a folder of the
-    warehouse where that is unset. Each application has its own, which is removed when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    warehouse where that is unset (an error where a cluster's warehouse is a local folder). Each application has its own, which is removed when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+        if not spark.sparkContext.master.startswith("local") and re.match("^(file:|/)", base):
+            raise ValueError("on a cluster, spark.checkpoint.dir names the shared folder for intermediate tables; the warehouse is a local one")
     folder = f"{base.rstrip('/')}/tablematch-{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())

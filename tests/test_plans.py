@@ -161,3 +161,14 @@ def test_optimal_pairs_match_brute_force():
         wide = m if rows <= cols else m.T
         best = max(sum(wide[i, p[i]] for i in range(len(wide))) for p in itertools.permutations(range(wide.shape[1]), len(wide)))
         assert abs(sum(m[r, c] for r, c in pairs) - best) < 1e-9
+
+
+def test_no_local_work_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tablematch.plans.skew import work_folder
+
+    settings = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: settings.get(k, d)), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(cluster)
