@@ -20,11 +20,12 @@ def _delimited(spark: SparkSession, header: bool, strict: bool):
 
 
 def _quoted(spark: SparkSession, path: str, header: bool, strict: bool) -> DataFrame:
-    """The same with line breaks inside quotes: `_rid` and the cells of the records of `read_records`."""
+    """The same with line breaks inside quotes: `_rid` and the cells of the records of `read_records`. A header
+    stands at the top of each file and is counted in none."""
     found = rc.read_records(spark, path)
     head = rc.first_cells(found)
     names = rc.column_labels(head) if header else [f"_c{i}" for i in range(len(head))]
-    body = found.where("NOT first").select((F.col("rid") - 1).alias("_rid"), "file", "text") if header else found.select(F.col("rid").alias("_rid"), "file", "text")
+    body = found.where("NOT first").select((F.col("rid") - F.col("heads")).alias("_rid"), "file", "text") if header else found.select(F.col("rid").alias("_rid"), "file", "text")
     row = body.withColumn("_row", rc.cells(F.col("text"), max(len(head), 1), strict=strict))
     return row.select("_rid", *[F.col("_row")[f"_c{i}"].alias(n) for i, n in enumerate(names)])
 

@@ -102,18 +102,21 @@ def _splits(scan: DataFrame, quotes: Quotes) -> DataFrame:
 
 
 def _composed(splits: DataFrame) -> DataFrame:
-    """`splits` with the state in which each begins, the number of records before it in all and in its file, and `origin`,
-    the split where the record begins that it begins in the middle of. One row per split is ordered, no data."""
+    """`splits` with the state in which each begins, the number of records before it in all and in its file, `heads`, the
+    number of files with a record up to it, and `origin`, the split where the record begins that it begins in the middle of.
+    One row per split is ordered, no data."""
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, 0)
     turns = F.coalesce(F.sum(F.when((F.col("out0") == 1) & (F.col("out1") == 0), 1).otherwise(0)).over(before), F.lit(0))
     fixed = F.when(F.col("out0") == F.col("out1"), F.struct(F.col("out0").alias("state"), F.col("turns").alias("turns")))
     known = splits.withColumn("turns", turns).withColumn("fixed", F.last(fixed, ignorenulls=True).over(before))
     known = known.withColumn("state", F.coalesce((F.col("fixed.state") + F.col("turns") - F.col("fixed.turns")), F.col("turns")) % 2)
     known = known.withColumn("n", F.when(F.col("state") == OUTSIDE, F.col("n0")).otherwise(F.col("n1")))
+    known = known.withColumn("in_file", F.coalesce(F.sum("n").over(before), F.lit(0)))
     return known.select(
-        "file", "start", "state", "n", F.last(F.when(F.col("n") > 0, F.col("start")), ignorenulls=True).over(before).alias("origin"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("in_file"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
+        "file", "start", "state", "n", "in_file", F.sum(F.when((F.col("in_file") == 0) & (F.col("n") > 0), 1).otherwise(0)).over(so_far).alias("heads"), F.last(F.when(F.col("n") > 0, F.col("start")), ignorenulls=True).over(before).alias("origin"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
         F.first("cr").over(Window.partitionBy("file").orderBy("start")).alias("crlf"),
     )
 
@@ -154,8 +157,8 @@ def _cut(scan: DataFrame, quotes: Quotes, begins: int) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """(file, rid, first, text): the records of the delimited UTF-8 files under `path`, with their positions in file order;
-    `first` marks the first record of each file. Records end at a line feed outside quotes, of which a carriage return
+    """(file, rid, first, heads, text): the records of the delimited UTF-8 files under `path`, with their positions in file order;
+    `first` marks the first record of each file, and `heads` counts these up to the record. Records end at a line feed outside quotes, of which a carriage return
     before it is part. Line breaks inside quotes stay as they are, but in a file whose first line ends with both, both together
     are one line feed. Empty lines are no records. A quote that is never closed
     holds the rest of its file. A file of any size is read split by split; only the two ends of a split meet others."""
@@ -170,20 +173,20 @@ def read_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
             checked = F.coalesce("state", F.raise_error(F.lit("the splits of a file changed while it was read")).cast("long"))
             parts.append(durable(cut.withColumn("state", checked).where(F.col("state") == state)))
     pieces = reduce(DataFrame.union, parts)
-    whole = pieces.where(F.col("kind") == RECORD).select("file", "offset", "in_file", "crlf", "place", "value")
+    whole = pieces.where(F.col("kind") == RECORD).select("file", "offset", "in_file", "heads", "crlf", "place", "value")
     ends = pieces.where(F.col("kind") != RECORD).select(
         "file", F.when(F.col("kind") == TAIL, F.col("start")).otherwise(F.col("origin")).alias("origin"), "start", "value",
-        *[F.when(F.col("kind") == TAIL, F.col(c)).alias(c) for c in ("offset", "in_file", "crlf", "place")],
+        *[F.when(F.col("kind") == TAIL, F.col(c)).alias(c) for c in ("offset", "in_file", "heads", "crlf", "place")],
     )
     # one record at most begins in a split and ends in another
     parts = F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda p: F.hex(p["value"]))
-    known = [F.max(c).alias(c) for c in ("offset", "in_file", "crlf", "place")]
+    known = [F.max(c).alias(c) for c in ("offset", "in_file", "heads", "crlf", "place")]
     joined = ends.groupBy("file", "origin").agg(F.unhex(F.array_join(parts, "0A")).alias("value"), *known)
     rows = whole.union(joined.select(*whole.columns))
     release(splits)
     text = F.col("value").cast("string")
     return rows.select(
-        "file", (F.col("offset") + F.col("place")).alias("rid"), (F.col("in_file") + F.col("place") == 0).alias("first"),
+        "file", (F.col("offset") + F.col("place")).alias("rid"), (F.col("in_file") + F.col("place") == 0).alias("first"), "heads",
         F.when(F.col("crlf") == 1, F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text).alias("text"),
     )
 
