@@ -1,27 +1,28 @@
 """Workbooks (xlsx) as a Spark data source: `spark.read.format("workbook")` and `df.write.format("workbook")`.
 
 A partition of a read is a block of rows of one sheet. Its task inflates the sheet, skips to its first row without parsing,
-and parses its own rows only. A write gives one workbook per partition. Files are opened through Arrow's file systems,
+and parses its own rows only. A sheet has at most 16 blocks, since each inflates what stands before it: the work of a read grows
+with the sheets, whatever the rows of a block. A write gives one workbook per partition. Files are opened through Arrow's file systems,
 by path or URI, so that every executor reads the same store.
 """
 
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
-from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: Rows of one partition, and bytes inflated at a time.
-BLOCK, CHUNK = 50_000, 1 << 18
+#: Rows of one partition, partitions of one sheet, and bytes inflated at a time.
+BLOCK, PARTS, CHUNK = 50_000, 16, 1 << 18
 
 # Limits of a sheet, number formats that are dates, and names of parts of a workbook.
 MAX_ROWS, MAX_COLUMNS = 1_048_576, 16_384
@@ -296,9 +297,27 @@ def sheet_size(book: zipfile.ZipFile, part: str) -> tuple[int, int]:
     return rows, columns
 
 
+def wanted_sheets(path: str, wanted: str) -> list[tuple[str, str]]:
+    """(file, part of the archive) of the sheets asked for, in order of files and sheets."""
+    found = []
+    for file in workbook_files(path):
+        with _open(file) as book:
+            kept = [(file, p) for i, (name, p) in enumerate(sheet_parts(book)) if wanted in ("*", name, str(i))]
+        if not kept:
+            raise ValueError(f"no sheet {wanted!r} in {file}")
+        found += kept
+    return found
+
+
+def measured(sheet: tuple[str, str]) -> tuple[str, str, int, int]:
+    """(file, part, rows, columns) of a sheet."""
+    with _open(sheet[0]) as book:
+        return (*sheet, *sheet_size(book, sheet[1]))
+
+
 class WorkbookSource(DataSource):
     """Options: `path` (file, or folder of files), `sheet` (name or number; all sheets: `*`; the first one otherwise), `block`
-    (rows in a partition). Columns: `_rid` and the cells `_c0` ... as text, null where empty. `_rid` is the row's position in its
+    (rows in a partition, or a 16th of the sheet if that is more). Columns: `_rid` and the cells `_c0` ... as text, null where empty. `_rid` is the row's position in its
     sheet; each further sheet begins at the next multiple of a sheet's largest size. Rows without cells give rows of nulls where rows with cells
     follow. Merged cells all have the text of the first. Numbers are written plainly, dates as ISO text, formulas as their last value."""
 
@@ -308,14 +327,10 @@ class WorkbookSource(DataSource):
 
     def _sheets(self) -> list[tuple[str, str, int, int]]:
         if not hasattr(self, "_found"):
-            wanted, self._found = self.options.get("sheet", "0"), []
-            for file in workbook_files(self.options["path"]):
-                with _open(file) as book:
-                    parts = sheet_parts(book)
-                    kept = [p for i, (name, p) in enumerate(parts) if wanted in ("*", name, str(i))]
-                    if not kept:
-                        raise ValueError(f"no sheet {wanted!r} in {file}")
-                    self._found += [(file, p, *sheet_size(book, p)) for p in kept]
+            if "sizes" in self.options:  # as `read_workbook` found them in tasks
+                self._found = [tuple(x) for x in json.loads(self.options["sizes"])]
+            else:
+                self._found = [measured(x) for x in wanted_sheets(self.options["path"], self.options.get("sheet", "0"))]
         return self._found
 
     def schema(self) -> str:
@@ -325,8 +340,9 @@ class WorkbookSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         block, parts = int(self.options.get("block", BLOCK)), []
         for k, (file, part, rows, _) in enumerate(self._sheets()):
-            firsts = list(range(1, max(rows, 1) + 1, block))
-            parts += [Block(file, part, a, a + block - 1 if a != firsts[-1] else None, k * MAX_ROWS) for a in firsts]
+            step = max(block, -(-rows // PARTS))
+            firsts = list(range(1, max(rows, 1) + 1, step))
+            parts += [Block(file, part, a, a + step - 1 if a != firsts[-1] else None, k * MAX_ROWS) for a in firsts]
         return WorkbookReader(parts, len(schema) - 1)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
@@ -413,6 +429,10 @@ class WorkbookWriter(DataSourceWriter):
                 store.delete_file(m.draft)
 
 
+#: How the characters of a text are written that stand for themselves in no sheet, or in none at all.
+_WRITTEN = {c: None for c in (*range(9), 11, 12, *range(14, 32), 0xFFFE, 0xFFFF)} | {ord(c): x for c, x in {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\r": "&#13;"}.items()}
+
+
 def _cell_xml(place: str, value) -> str:
     if value is None:
         return ""
@@ -421,8 +441,7 @@ def _cell_xml(place: str, value) -> str:
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         if value == value and abs(value) != float("inf"):
             return f'<c r="{place}"><v>{value}</v></c>'
-    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", str(value))
-    return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(text, {chr(13): "&#13;"})}</t></is></c>'
+    return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{str(value).translate(_WRITTEN)}</t></is></c>'
 
 
 def write_sheets(out, names: list[str], rows: Iterator, limit: int = MAX_ROWS) -> None:
@@ -461,7 +480,10 @@ def _row_xml(n: int, letters: list[str], values) -> bytes:
 def read_workbook(spark: SparkSession, path: str, sheet: str = "0", block: int = BLOCK) -> DataFrame:
     """The cells of a sheet of the workbooks under `path` as a grid, as `read_grid` gives it for delimited files."""
     spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").options(path=path, sheet=sheet, block=str(block)).load()
+    sheets = wanted_sheets(path, sheet)
+    # a sheet that does not tell its size is inflated for it, so that each has a task of its own
+    sizes = spark.sparkContext.parallelize(sheets, len(sheets)).map(measured).collect() if sheets else []
+    return spark.read.format("workbook").options(path=path, sheet=sheet, block=str(block), sizes=json.dumps(sizes)).load()
 
 
 def write_workbooks(df: DataFrame, path: str) -> None:
