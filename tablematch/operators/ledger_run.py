@@ -10,6 +10,7 @@ from tablematch.config import DEFAULTS, Settings
 from tablematch.operators.align import Mapped, load_and_map
 from tablematch.operators.ledger import Ledger, compare_ledger
 from tablematch.operators.search import Page, paginate
+from tablematch.plans.skew import durable, release
 from tablematch.sources.ordinal import with_ordinal_by
 from tablematch.vocabulary import default_vocabulary
 
@@ -62,17 +63,21 @@ def compare_grids(
     """Two raw grids (`read_grid`, `read_workbook`) to buckets: each side is mapped by itself onto the canonical fields, then both are
     compared. A required field that a side lacks, or that several columns could stand for, ends the run with the decisions.
 
-    The groups are put in order of their numbers once, so that a page of a bucket without a sort is a filter."""
+    Header, mapping, comparison and buckets each read a side again, so the grid and the mapped table are written once instead of
+    parsed each time. The groups are put in order of their numbers once, so that a page of a bucket without a sort is a filter."""
     fields = fields or default_vocabulary()["transactional"]
-    tables, mappings = {}, {}
+    tables, mappings, grids = {}, {}, []
     for side, grid, overrides in (("source", source, source_overrides), ("target", target, target_overrides)):
-        tables[side], mappings[side] = load_and_map(grid, fields, overrides, method, settings)
+        grids.append(durable(grid))
+        tables[side], mappings[side] = load_and_map(grids[-1], fields, overrides, method, settings)
     missing = {side: [m.field for m in found if m.field in REQUIRED and m.status != "MAPPED"] for side, found in mappings.items()}
     if any(missing.values()):
         raise FieldsNotMapped({side: m for side, m in missing.items() if m}, mappings)
     for name in ("TxnType", "TxnDate", "Customer"):
         kind = "date" if name == "TxnDate" else "string"
         tables = {side: t if name in t.columns else t.withColumn(name, F.lit(None).cast(kind)) for side, t in tables.items()}
+    tables = {side: durable(t) for side, t in tables.items()}
+    release(*grids)
     ledger = compare_ledger(tables["source"], tables["target"], settings)
     order = [F.coalesce("TxnNumber_Source", "TxnNumber_Target"), "TxnType", "MatchStatus", "TxnNumber_Target"]
     ledger.groups = with_ordinal_by(ledger.groups, order)
