@@ -193,7 +193,8 @@ def snk7_rows(spark, sf_dir):
 
 
 def _arrive(df, folder: str, part: int) -> None:
-    df.coalesce(1).write.mode("append").parquet(f"{folder}/part={part}")
+    """An arrival of as many files as its table has parts; one micro-batch takes them all."""
+    df.write.mode("append").parquet(f"{folder}/part={part}")
 
 
 @query("T2_version_stream", _steps(2) + "SELECT version, added, deleted, updated, format_issues FROM ver UNION ALL SELECT 0, 0, 0, 0, 0")
@@ -217,15 +218,16 @@ def t2_keyed(spark, sf_dir):
     """The same chain row by row: fingerprints in keyed state instead of the version before, markers that end a version."""
     inbox, results, progress = (scratch(spark, x) for x in ("inbox", "results", "progress"))
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
+    before, buckets = spark.conf.get(provider), 0
     spark.conf.set(provider, kd.STATE_STORE)
     try:
         for v in range(3):
             table = (fx.b1_source(spark, sf_dir) if v == 0 else fx.b1_target(spark, sf_dir, v)).drop("_rid").withColumn("version", F.lit(v).cast("long"))
             marker = spark.createDataFrame([(None, None, None, None, None, v)], table.schema)
             _arrive(table.unionByName(marker), inbox, v)
+            buckets = buckets or kd.buckets_for(table.count())
             stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", True).parquet(inbox)
-            judged = kd.judge_arrivals(stream, KEYS, buckets=8).writeStream.format("parquet").option("checkpointLocation", progress).option("path", results)
+            judged = kd.judge_arrivals(stream, KEYS, buckets=buckets).writeStream.format("parquet").option("checkpointLocation", progress).option("path", results)
             judged.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)

@@ -20,9 +20,16 @@ from tablematch.functions.values import canonical
 
 #: The store that keeps state outside the heap, which keyed state asks for.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys that a bucket should hold: some tens of MB in its task.
+BUCKET_KEYS = 50_000
 CHANGES = "version long, row_key string, status string, previous_version long"
 
 
+def buckets_for(keys: int, least: int = 8) -> int:
+    """How many buckets hold so many keys, that the memory of a task does not grow with the table."""
+    return max(least, -(-keys // BUCKET_KEYS))
+
+
 def keyed_rows(df: DataFrame, keys: list[str], version: str, buckets: int) -> DataFrame:
     """(bucket, version, row_key, print, ends): the rows of a stream with key text and fingerprint of the other cells, in
     canonical form. A row whose key columns are all null marks the end of its version, in all buckets."""
@@ -86,6 +93,6 @@ def judge_arrivals(df: DataFrame, keys: list[str], version: str = "version", buc
     """(version, row_key, status, previous_version) of a stream of rows, each with the number of its version: what has
     become of each key since the version before. Versions come in rising order; a marker (`version`, keys null) ends one and
     gives the keys it lacks as deleted. State grows with the number of keys alone, by the key and two numbers each; choose
-    `buckets` so that the keys of one (at 64 buckets a 64th of all) fit a task. The number stays as long as the checkpoint. Needs `spark.sql.streaming.stateStore.providerClass` to be `STATE_STORE`."""
+    `buckets` by `buckets_for`, from the keys to be expected, so that those of one fit a task. The number stays as long as the checkpoint. Needs `spark.sql.streaming.stateStore.providerClass` to be `STATE_STORE`."""
     rows = keyed_rows(df, keys, version, buckets)
     return rows.groupBy("bucket").transformWithStateInPandas(_Judge(), outputStructType=CHANGES, outputMode="Append", timeMode="None")

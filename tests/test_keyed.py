@@ -55,3 +55,18 @@ def test_equals_the_comparison_of_whole_versions(spark, tmp_path, rocks):
     got = [tuple(r)[:3] for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert all(r.previous_version == r.version - 1 for r in out.where("status <> 'Added'").collect())
+
+
+def test_buckets_grow_with_the_keys():
+    from tablematch.streaming.keyed import BUCKET_KEYS, buckets_for
+
+    assert buckets_for(0) == buckets_for(BUCKET_KEYS) == 8
+    for keys in (10**6, 54 * 10**6):
+        assert keys / buckets_for(keys) <= BUCKET_KEYS
+
+
+def test_an_arrival_is_written_by_many_tasks(spark, tmp_path):
+    from checks.series import _arrive
+
+    _arrive(spark.range(0, 100, 1, 4), str(tmp_path / "inbox"), 0)
+    assert len(list((tmp_path / "inbox" / "part=0").glob("*.parquet"))) == 4
