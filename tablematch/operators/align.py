@@ -160,13 +160,15 @@ class Mapped:
     candidates: list[str] = field(default_factory=list)
 
 
-def column_scores(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> dict[str, dict[str, float]]:
-    """Validator scores per column over all its non-blank values; one row per column comes back."""
+def column_scores(
+    df: DataFrame, columns: list[str], settings: Settings = DEFAULTS, kinds: set[str] | None = None
+) -> dict[str, dict[str, float]]:
+    """Validator scores per column over all its non-blank values, of all validators or of `kinds`; one row per column comes back."""
     if not columns:
         return {}
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns])
     long = df.select(F.inline(cells)).where("v <> ''")
-    scores = validator_scores(F.col("v"), settings)
+    scores = {k: v for k, v in validator_scores(F.col("v"), settings).items() if kinds is None or k in kinds}
     rows = long.groupBy("column_name").agg(*[v.alias(k) for k, v in scores.items()]).collect()
     return {r["column_name"]: {k: float(r[k]) for k in scores} for r in rows}
 
@@ -180,14 +182,15 @@ def map_columns(
     settings: Settings = DEFAULTS,
 ) -> list[Mapped]:
     """Resolve canonical fields: override, header word, canonical name, then (exact) the only column whose
-    values fit the field's datatype or (fuzzy) the most similar header. A column is claimed once."""
+    values fit the field's datatype or (fuzzy) the most similar header. A column is claimed once. Values are read at the first
+    field that needs them: those of the columns unclaimed by then, for the datatypes of the fields still to come."""
     by_name: dict[str, str] = {}
     for c in columns:
         by_name.setdefault(flat_name(c), c)
     out: list[Mapped] = []
     used: set[str] = set()
     scores: dict[str, dict[str, float]] | None = None
-    for name, words in fields.items():
+    for i, (name, words) in enumerate(fields.items()):
         pinned = (overrides or {}).get(name)
         word = next((by_name[w] for w in words if w in by_name and by_name[w] not in used), None)
         named = by_name.get(flat_name(name))
@@ -204,7 +207,8 @@ def map_columns(
             kind = FIELD_VALIDATORS.get(name)
             if kind and df is not None:
                 if scores is None:
-                    scores = column_scores(df, [c for c in columns if c in df.columns], settings)
+                    kinds = {FIELD_VALIDATORS[f] for f in list(fields)[i:] if f in FIELD_VALIDATORS}
+                    scores = column_scores(df, [c for c in columns if c in df.columns and c not in used], settings, kinds)
                 fits = [c for c in columns if c not in used and scores.get(c, {}).get(kind, 0.0) >= settings.validator_threshold]
                 if len(fits) == 1:
                     found = Mapped(name, fits[0], "datatype_validation", "MAPPED", round(scores[fits[0]][kind], 2), fits)
@@ -285,9 +289,14 @@ def promote_header(grid: DataFrame, row: int) -> DataFrame:
     return body.select(*[F.col(c).alias(n) for c, n in zip(data_columns(grid), names)], "_rid")
 
 
+#: Ordinals below this are looked at first.
+_LEADING = 1000
+
+
 def drop_repeated_header(df: DataFrame, fields: dict[str, list[str]], hits: int = 2) -> DataFrame:
-    """Drop the first data row when it is a second header."""
-    first = df.orderBy("_rid").limit(1).collect()
+    """Drop the first data row when it is a second header. It is looked for among the leading ordinals, which a stored grid
+    finds without reading the others, and among all rows if none of these is left."""
+    first = next(filter(None, (d.orderBy("_rid").limit(1).collect() for d in (df.where(F.col("_rid") < _LEADING), df))), None)
     if first and header_hits([first[0][c] for c in data_columns(df)], words_of(fields)) >= hits:
         return df.where(F.col("_rid") != first[0]["_rid"])
     return df

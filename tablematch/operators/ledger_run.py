@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,6 +23,8 @@ STATUSES = {
     "matched": ("Matched",), "disputed": ("Amount Mismatch",), "unmatched_source": ("Only In Source",),
     "unmatched_target": ("Only In Target",), "tier2_rows": ("Tier2 Match", "Tier2 Amount Mismatch"),
 }
+#: The line counts of the groups that tell how many rows share a key.
+LINES = {"duplicate_source_rows": "Lines_Source", "duplicate_target_rows": "Lines_Target"}
 
 
 class FieldsNotMapped(ValueError):
@@ -40,12 +43,20 @@ class LedgerRun:
     mappings: dict[str, list[Mapped]]
     buckets: dict[str, DataFrame]
 
+    @cached_property
+    def group_totals(self) -> dict[str, int]:
+        """Totals of the buckets that the groups tell, in one pass. Each key of a side is in one group, with the number of its
+        lines, so the groups of several lines add up to the duplicate rows."""
+        sizes = {b: F.count_if(F.col("MatchStatus").isin(*names)) for b, names in STATUSES.items()}
+        sizes |= {b: F.coalesce(F.sum(F.when(F.col(n) > 1, F.col(n))), F.lit(0)) for b, n in LINES.items()}
+        return self.ledger.groups.agg(*[n.alias(b) for b, n in sizes.items()]).first().asDict()
+
     def totals(self) -> DataFrame:
-        """(bucket, total) of all buckets; those of the groups in one pass."""
-        groups = self.ledger.groups.agg(*[F.count_if(F.col("MatchStatus").isin(*names)).alias(b) for b, names in STATUSES.items()])
-        out = groups.unpivot([], list(STATUSES), "bucket", "total")
+        """(bucket, total) of all buckets; those that the groups tell in one pass."""
+        known = self.group_totals
+        out = self.ledger.groups.sparkSession.createDataFrame(list(known.items()), "bucket string, total long")
         for name, rows in self.buckets.items():
-            if name not in STATUSES:
+            if name not in known:
                 out = out.unionByName(rows.agg(F.count(F.lit(1)).alias("total")).select(F.lit(name).alias("bucket"), "total"))
         return out
 
@@ -53,7 +64,8 @@ class LedgerRun:
         """One page of a bucket, searched and sorted; without `sort_by` in order of the numbers."""
         if bucket not in self.buckets:
             raise KeyError(f"no bucket {bucket!r}; there are {', '.join(self.buckets)}")
-        return paginate(self.buckets[bucket], page, page_size, sort_by, descending, text)
+        rows = self.group_totals[bucket] if not text and bucket in {**STATUSES, **LINES} else None
+        return paginate(self.buckets[bucket], page, page_size, sort_by, descending, text, rows=rows)
 
 
 def compare_grids(
@@ -64,7 +76,8 @@ def compare_grids(
     compared. A required field that a side lacks, or that several columns could stand for, ends the run with the decisions.
 
     Header, mapping, comparison and buckets each read a side again, so the grid and the mapped table are written once instead of
-    parsed each time. The groups are put in order of their numbers once, so that a page of a bucket without a sort is a filter."""
+    parsed each time. The groups are put in order of their numbers once, so that a page of a bucket without a sort is a filter, and
+    counted once for the totals of all pages."""
     fields = fields or default_vocabulary()["transactional"]
     tables, mappings, grids = {}, {}, []
     for side, grid, overrides in (("source", source, source_overrides), ("target", target, target_overrides)):
@@ -80,7 +93,8 @@ def compare_grids(
     release(*grids)
     ledger = compare_ledger(tables["source"], tables["target"], settings)
     order = [F.coalesce("TxnNumber_Source", "TxnNumber_Target"), "TxnType", "MatchStatus", "TxnNumber_Target"]
-    ledger.groups = with_ordinal_by(ledger.groups, order)
+    groups, ledger.groups = ledger.groups, with_ordinal_by(ledger.groups, order)
+    release(groups)
     buckets = {name: ledger.groups.where(F.col("MatchStatus").isin(*statuses)) for name, statuses in STATUSES.items()}
     buckets |= {
         "duplicate_source_rows": ledger.duplicates_source, "duplicate_target_rows": ledger.duplicates_target,

@@ -40,16 +40,17 @@ def snap_page_size(size, settings: Settings = DEFAULTS) -> int:
 
 def paginate(
     df: DataFrame, page: int = 1, page_size: int | None = None, sort_by: str | None = None, descending: bool = False,
-    text: str | None = None, settings: Settings = DEFAULTS,
+    text: str | None = None, settings: Settings = DEFAULTS, rows: int | None = None,
 ) -> Page:
-    """Filter, sort (nulls last ascending, first descending; ties in row order), one page. Needs `_rid`.
+    """Filter, sort (nulls last ascending, first descending; ties in row order), one page. Needs `_rid`. `rows`: the number of
+    rows of `df` where it is known, so that a page without a filter does not count them.
 
     An early page is a top-n. For a deep one, whose top-n would gather every earlier row in one place, the sorted
     table is written once and the page is a range of positions in it.
     """
     found = search_any(df, text)
     size = snap_page_size(page_size, settings)
-    total = found.count()
+    total = found.count() if rows is None or found is not df else rows
     pages = max(1, -(-total // size))
     page = min(max(1, int(page or 1)), pages)
     order = [F.col("_rid")]
